@@ -130,13 +130,13 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     total = items.agg(F.count(F.lit(1)), F.sum("length")).first()
     left, placed_all, bins, used = int(total[0]), None, None, 0
     wanted, longest, turn = -(-int(total[1] or 0) // capacity), capacity, 0
-    waiting, held = items.select("item", "length"), []
+    waiting, held, open_bins = items.select("item", "length"), [], 0
     while left:
         turn += 1
         if wanted:
             new = spark.range(used, used + wanted).select(F.col("id").alias("bin"), F.lit(capacity).cast("long").alias("gap"))
             bins, used = new if bins is None else bins.unionByName(new), used + wanted
-        share = max(1, -(-left // max(used, 1)))
+        share = max(1, -(-2 * left // max(open_bins + wanted, 1)))
         slots = F.least(F.floor(F.col("gap") / max(longest, 1)).cast("long"), F.lit(share).cast("long"))
         slots = F.greatest(slots, F.lit(1).cast("long"))
         offered = bins.withColumn("n", slots).select("bin", F.floor(F.col("gap") / F.col("n")).cast("long").alias("size"), F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("slot"))
@@ -171,9 +171,10 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         filled = placed.groupBy("bin").agg(F.sum("length").alias("filled"))
         old, bins = bins, bins.join(filled, "bin", "left").select("bin", (F.col("gap") - F.coalesce("filled", F.lit(0))).alias("gap"))
         bins = scratch.save(bins.where(F.col("gap") >= min(rest)), "gaps")
-        widest = int(bins.agg(F.max("gap")).first()[0] or 0)
+        widest, room, open_bins = (int(x or 0) for x in bins.agg(F.max("gap"), F.sum("gap"), F.count("gap")).first())
         stuck = sum(s * n for s, n in rest.items() if s > widest)
-        wanted = -(-stuck // capacity)
+        short = sum(s * n for s, n in rest.items()) - room  # these need new sequences however they are dealt
+        wanted = -(-max(stuck, short, 0) // capacity)
         longest = max((s for s in rest if s <= (capacity if wanted else widest)), default=1)
         waiting = keyed.where("gap_at is null").select("item", "length")
         scratch.drop(old, *held)  # what this round read; the next one reads stored once more
