@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import best_fit_packing, byte_bpe, exact_dedup, language_id, minhash_dedup, token_counts
+from tidemark.llm import best_fit_packing, byte_bpe, exact_dedup, language_id, minhash_dedup, substring_dedup, token_counts
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -17,6 +17,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(_documents(spark, sf_dir))
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_dedup(_documents(spark, sf_dir))
 
@@ -43,7 +47,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_minhash_dedup, op4_byte_bpe, op6_best_fit_packing, op7_exact_dedup, op8_token_counts, op10_language_id)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_minhash_dedup, op4_byte_bpe, op6_best_fit_packing, op7_exact_dedup, op8_token_counts, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
