@@ -83,8 +83,9 @@ def fit(docs: DataFrame, most_rows: int = 20_000, most_langs: int = 256, bits: i
     return langs, np.log(matrix / matrix.sum(axis=1, keepdims=True))
 
 
-def identify(docs: DataFrame, langs: list[str], matrix: np.ndarray, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns of docs with lang_pred and score."""
+def identify(docs: DataFrame, langs: list[str], matrix: np.ndarray, keep: tuple[str, ...] = ("doc_id",), carry_text: bool = False) -> DataFrame:
+    """The kept columns of docs, and text if asked for, with lang_pred and score."""
+    keep = (*keep, "text") if carry_text else keep
     shared = docs.sparkSession.sparkContext.broadcast((langs, matrix))
     bits = int(matrix.shape[1]).bit_length() - 1
 
@@ -108,7 +109,7 @@ def identify(docs: DataFrame, langs: list[str], matrix: np.ndarray, keep: tuple[
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, "text").mapInArrow(predict, f"{fields}, lang_pred string, score double")
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(predict, f"{fields}, lang_pred string, score double")
 
 
 def language_id(docs: DataFrame, fold: Column | None = None, most_rows: int = 20_000) -> DataFrame:
