@@ -1,11 +1,669 @@
-"""Registered queries over the given tables and the SQL each must agree with."""
+"""Registered queries over the given tables and the SQL each must agree with.
+
+Every query applies operators to a whole table; constants are snapshots, bounds and limits that the
+operator itself takes.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from tidemark.functions import sizing
+from tidemark.operators import batch, blobs, clock, ingest, layout, metrics, mvcc, replication, transactions
+from tidemark.sources.changelog import events_log, table
+from tidemark.streaming import latest
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+#: The changelog of events, for the SQL side.
+LOG = """log AS (
+  SELECT 'u' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS k, event_id + 1 AS seqno,
+         CASE event_type WHEN 'error' THEN 1 WHEN 'signup' THEN 2 ELSE 0 END AS vt, props AS v,
+         event_id // 512 AS run, CASE WHEN event_id // 512 % 4 = 3 THEN 0 ELSE 1 END AS level
+  FROM events)"""
+NEWEST = "SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY k ORDER BY seqno DESC) = 1"
+META = """meta AS (SELECT run, any_value(level) AS level, min(k) AS min_k, max(k) AS max_k, min(seqno) AS min_seqno, max(seqno) AS max_seqno,
+  count(*) AS entries, CAST(sum(strlen(k) + coalesce(strlen(v), 0)) AS BIGINT) AS bytes FROM log GROUP BY run)"""
+ORDER_LOG = """olog AS (SELECT 'c' || lpad(CAST(o_custkey AS VARCHAR), 8, '0') AS k, o_orderkey AS seqno, o_orderstatus AS st, o_orderpriority AS v, o_orderdate FROM orders)"""
+
+
+def query(sql: str | None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _meta(spark: SparkSession, sf: str) -> DataFrame:
+    level = F.when(F.col("run") % 4 == 3, 0).otherwise(1)
+    return layout.run_metadata(events_log(spark, sf)).withColumn("level", level)
+
+
+# Reads
+
+
+@query(f"WITH {LOG} SELECT k, seqno, v FROM (SELECT * FROM log WHERE seqno <= 5000 QUALIFY row_number() OVER (PARTITION BY k ORDER BY seqno DESC) = 1) WHERE vt = 0")
+def snapshot_read(spark, sf):
+    return mvcc.resolve(events_log(spark, sf), 5000).select("k", "seqno", "v")
+
+
+@query(f"WITH {LOG} SELECT vt, count(*) AS n FROM ({NEWEST}) GROUP BY vt")
+def latest_by_type(spark, sf):
+    return mvcc.newest(events_log(spark, sf)).groupBy("vt").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {LOG} SELECT k, seqno, v FROM ({NEWEST}) WHERE vt = 0 AND k BETWEEN 'u000010' AND 'u000050'")
+def range_scan(spark, sf):
+    return mvcc.scan(events_log(spark, sf), low="u000010", high="u000050").select("k", "seqno", "v")
+
+
+@query(f"WITH {LOG} SELECT k, seqno, v FROM ({NEWEST}) WHERE vt = 0 AND k LIKE 'u00000%'")
+def prefix_scan(spark, sf):
+    return mvcc.scan(events_log(spark, sf), prefix="u00000").select("k", "seqno", "v")
+
+
+@query(f"WITH {LOG} SELECT k, seqno FROM ({NEWEST}) WHERE vt = 0 ORDER BY k DESC LIMIT 7")
+def reverse_limit(spark, sf):
+    return mvcc.scan(events_log(spark, sf), limit=7, reverse=True).select("k", "seqno")
+
+
+@query(f"WITH {LOG} SELECT min(k) AS first_k, max(k) AS last_k, count(*) AS n, count(*) = 0 AS is_empty FROM ({NEWEST}) WHERE vt = 0")
+def first_last_len(spark, sf):
+    return mvcc.summary(events_log(spark, sf))
+
+
+@query(f"WITH {LOG} SELECT count(*) AS versions, count(*) FILTER (vt = 0) AS raw_values, count(DISTINCT k) AS n_keys FROM log")
+def raw_len(spark, sf):
+    return mvcc.versions(events_log(spark, sf)).agg(F.count(F.lit(1)).alias("versions"), F.count_if(F.col("vt") == 0).alias("raw_values"), F.count_distinct("k").alias("n_keys"))
+
+
+@query(f"WITH {LOG} SELECT k, seqno, vt FROM log WHERE seqno <= 3000 AND k >= 'u000100' AND k < 'u000120'")
+def raw_scan(spark, sf):
+    log = events_log(spark, sf).where(mvcc.in_range("u000100", "u000120", high_open=True))
+    return mvcc.versions(log, 3000).select("k", "seqno", "vt")
+
+
+@query(f"WITH {LOG} SELECT k, seqno, v FROM (SELECT * FROM log WHERE k = 'u000042' AND seqno <= 9000 QUALIFY row_number() OVER (PARTITION BY k ORDER BY seqno DESC) = 1) WHERE vt = 0")
+def point_get(spark, sf):
+    return mvcc.get(events_log(spark, sf), "u000042", 9000).select("k", "seqno", "v")
+
+
+@query("SELECT c_custkey AS k, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey = (SELECT max(o_orderkey) FROM orders x WHERE x.o_custkey = c_custkey) AND o_orderstatus <> 'F') AS present FROM customer")
+def contains_many(spark, sf):
+    log = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("seqno"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("vt"), F.lit("").alias("v"))
+    return mvcc.contains(log, table(spark, sf, "customer").select(F.col("c_custkey").alias("k")))
+
+
+@query(f"WITH {LOG} SELECT k, CAST(strlen(v) AS INTEGER) AS bytes FROM ({NEWEST}) WHERE vt = 0")
+def size_of(spark, sf):
+    return mvcc.size_of(events_log(spark, sf))
+
+
+def _orders_log(spark, sf):
+    return table(spark, sf, "orders").select(
+        F.concat(F.lit("c"), F.lpad(F.col("o_custkey").cast("string"), 8, "0")).alias("k"), F.col("o_orderkey").alias("seqno"), F.col("o_orderstatus").alias("st"), F.col("o_orderpriority").alias("v"), "o_orderdate"
+    )
+
+
+@query(
+    f"""WITH {ORDER_LOG}, q AS (SELECT l_orderkey * 8 + l_linenumber AS id, k, l_orderkey AS asked FROM lineitem JOIN olog ON l_orderkey = seqno)
+SELECT id, k, asked, coalesce((SELECT max(seqno) FROM olog o WHERE o.k = a.k AND o.seqno < a.asked), (SELECT min(seqno) FROM olog o WHERE o.k = a.k)) AS seqno FROM q a"""
+)
+def version_asof(spark, sf):
+    history = _orders_log(spark, sf)
+    asked = table(spark, sf, "lineitem").join(history, F.col("l_orderkey") == F.col("seqno")).select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), "k", F.col("l_orderkey").alias("at"))
+    return mvcc.as_of(history, asked).withColumnRenamed("at", "asked")
+
+
+@query("WITH h AS (SELECT user_id AS seqno, sum(CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE -1 END) AS refs FROM events GROUP BY 1 HAVING refs > 0) SELECT CAST(coalesce(min(seqno) - 1, 9999) AS BIGINT) AS watermark, CAST(coalesce(sum(refs), 0) AS BIGINT) AS open_snapshots FROM h")
+def gc_watermark(spark, sf):
+    change = F.when(F.col("event_type").isin("click", "view"), 1).otherwise(-1)
+    return mvcc.watermark(table(spark, sf, "events").select(F.col("user_id").alias("seqno"), change.alias("change")), 10_000)
+
+
+@query("SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderdate, o_orderkey) + 99 AS seqno FROM orders")
+def seqno_assign(spark, sf):
+    from tidemark.sources import changelog
+
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), "o_orderdate")
+    return changelog.number(rows, 100, ["o_orderdate", "k"]).select("k", "seqno")
+
+
+@query(f"WITH {LOG}, clears AS (SELECT k, max(seqno) AS cleared FROM log WHERE vt = 2 GROUP BY k) SELECT l.k, count(*) AS n FROM log l LEFT JOIN clears c ON l.k = c.k WHERE c.cleared IS NULL OR l.seqno > c.cleared GROUP BY l.k")
+def clear_epoch(spark, sf):
+    from tidemark.sources import changelog
+
+    log = events_log(spark, sf).withColumn("ks", F.col("k"))
+    clears = log.where("vt = 2").select("ks", F.col("seqno").alias("cleared"))
+    return changelog.live(log, clears).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Writes, batches, ingestion
+
+
+@query("SELECT k, vt, v FROM (SELECT l_orderkey AS batch_id, CAST(l_partkey % 4 AS VARCHAR) AS k, l_linenumber AS ord, CASE l_returnflag WHEN 'R' THEN 1 ELSE 0 END AS vt, l_linestatus AS v FROM lineitem) QUALIFY row_number() OVER (PARTITION BY batch_id, k ORDER BY ord DESC) = 1")
+def batch_lww(spark, sf):
+    items = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("batch_id"), F.lit("lines").alias("ks"), (F.col("l_partkey") % 4).cast("string").alias("k"), F.col("l_linenumber").alias("ord"), F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("vt"), F.col("l_linestatus").alias("v")
+    )
+    return batch.last_items(items).select("k", "vt", "v")
+
+
+@query(
+    """WITH items AS (
+  SELECT o_orderkey AS batch_id, o_orderkey AS ord, 'customers' AS ks, CAST(o_custkey AS VARCHAR) AS k, 0 AS vt, o_orderpriority AS v FROM orders
+  UNION ALL SELECT o_orderkey, o_orderkey, 'statuses', o_orderstatus, 0, o_orderpriority FROM orders)
+SELECT ks, k, seqno, v FROM (SELECT ks, k, batch_id + 1000 AS seqno, v FROM items) QUALIFY row_number() OVER (PARTITION BY ks, k ORDER BY seqno DESC) = 1"""
+)
+def batch_multi_keyspace(spark, sf):
+    orders = table(spark, sf, "orders")
+
+    def items(ks, k):
+        return orders.select(F.col("o_orderkey").alias("batch_id"), F.col("o_orderkey").alias("ord"), F.lit(ks).alias("ks"), k.alias("k"), F.lit(0).alias("vt"), F.col("o_orderpriority").alias("v"))
+
+    both = items("customers", F.col("o_custkey").cast("string")).unionByName(items("statuses", F.col("o_orderstatus")))
+    empty = spark.createDataFrame([], "ks string, k string, seqno long, vt int, v string")
+    return mvcc.resolve(batch.commit(empty, batch.checked(both), 1000), keys=("ks", "k")).select("ks", "k", "seqno", "v")
+
+
+@query("SELECT coalesce(CASE WHEN strlen(k) = 0 THEN 'empty key' WHEN strlen(k) > 65535 THEN 'long key' END, 'ok') AS fault, count(*) AS n FROM (SELECT regexp_extract(text, '^[A-Z][a-z]+') AS k FROM documents) GROUP BY 1")
+def key_limits_check(spark, sf):
+    items = table(spark, sf, "documents").select(F.regexp_extract("text", "^[A-Z][a-z]+", 0).alias("k"), F.col("text").alias("v"))
+    return items.groupBy(F.coalesce(batch.fault(), F.lit("ok")).alias("fault")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_custkey AS batch_id, CAST(sum(strlen(CAST(o_orderkey AS VARCHAR)) + strlen(o_orderpriority)) AS BIGINT) AS bytes, count(*) AS items FROM orders GROUP BY 1")
+def batch_sizes(spark, sf):
+    return batch.sizes(table(spark, sf, "orders").select(F.col("o_custkey").alias("batch_id"), F.col("o_orderkey").cast("string").alias("k"), F.col("o_orderpriority").alias("v")))
+
+
+@query(
+    f"""WITH {LOG}, s AS (SELECT k, seqno, strlen(k) + coalesce(strlen(v), 0) AS size, sum(strlen(k) + coalesce(strlen(v), 0)) OVER (ORDER BY k, seqno DESC ROWS UNBOUNDED PRECEDING) AS held FROM log)
+SELECT CAST((held - size) // 20000 AS BIGINT) AS table_no, count(*) AS entries, min(k) AS min_k, max(k) AS max_k FROM s GROUP BY 1"""
+)
+def ingest_split(spark, sf):
+    return ingest.split(events_log(spark, sf), 20_000).groupBy("table_no").agg(F.count(F.lit(1)).alias("entries"), F.min("k").alias("min_k"), F.max("k").alias("max_k"))
+
+
+@query("SELECT part, pos, k FROM (SELECT user_id AS part, event_id AS pos, CAST(floor(value) AS BIGINT) AS k, lag(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE k <= before")
+def ingest_order_check(spark, sf):
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("part"), F.col("event_id").alias("pos"), F.floor("value").cast("long").alias("k"))
+    return ingest.out_of_order(rows).select("part", "pos", "k")
+
+
+# Layout and compaction
+
+
+@query(f"WITH {LOG} SELECT k, seqno, vt FROM ({NEWEST}) WHERE vt = 0 OR seqno >= 9900")
+def compaction_gc(spark, sf):
+    return layout.compact(events_log(spark, sf), 9900, keep_snapshots=False).select("k", "seqno", "vt")
+
+
+@query(
+    f"WITH {LOG} SELECT k, seqno, vt FROM log WHERE seqno >= 9000 UNION ALL SELECT k, seqno, vt FROM (SELECT * FROM log WHERE seqno < 9000 QUALIFY row_number() OVER (PARTITION BY k ORDER BY seqno DESC) = 1) WHERE vt = 0"
+)
+def compaction_mvcc(spark, sf):
+    return layout.compact(events_log(spark, sf), 9000).select("k", "seqno", "vt")
+
+
+@query(f"WITH {LOG}, top AS (SELECT * FROM log WHERE run >= 10) SELECT k, seqno, vt FROM top WHERE seqno >= 8000 UNION ALL SELECT k, seqno, vt FROM (SELECT * FROM top WHERE seqno < 8000 QUALIFY row_number() OVER (PARTITION BY k ORDER BY seqno DESC) = 1)")
+def compaction_partial(spark, sf):
+    """Some runs only: tombstones must stay, older runs may hold their keys."""
+    return layout.compact(events_log(spark, sf).where("run >= 10"), 8000, all_runs=False).select("k", "seqno", "vt")
+
+
+@query(f"WITH {LOG}, n AS (SELECT *, lead(vt) OVER w AS above, lag(vt) OVER w AS below FROM log WINDOW w AS (PARTITION BY k ORDER BY seqno)) SELECT k, seqno, vt FROM n WHERE NOT ((vt = 0 AND coalesce(above, 0) = 2) OR (vt = 2 AND coalesce(below, 1) = 0))")
+def weak_annihilate(spark, sf):
+    return layout.annihilate(events_log(spark, sf)).select("k", "seqno", "vt")
+
+
+@query(f"WITH {LOG}, {META} SELECT run, min_k, max_k, min_seqno, max_seqno, entries, bytes FROM meta")
+def table_meta(spark, sf):
+    return _meta(spark, sf).drop("level")
+
+
+@query(f"WITH {LOG}, {META} SELECT a.run AS run_a, b.run AS run_b FROM meta a JOIN meta b ON a.run < b.run AND a.min_k <= b.max_k AND a.max_k >= b.min_k")
+def l0_overlap(spark, sf):
+    return layout.overlaps(_meta(spark, sf))
+
+
+@query(f"WITH {LOG}, {META} SELECT min(min_k) AS min_k, max(max_k) AS max_k FROM meta")
+def key_range_hull(spark, sf):
+    return layout.hull(_meta(spark, sf))
+
+
+@query(f"WITH {LOG}, {META} SELECT run, level FROM meta m WHERE level = 0 OR (level = 1 AND EXISTS (SELECT 1 FROM meta u WHERE u.level = 0 AND u.min_k <= m.max_k AND u.max_k >= m.min_k))")
+def leveled_pick(spark, sf):
+    return layout.leveled_pick(_meta(spark, sf)).select("run", "level")
+
+
+@query(f"WITH {LOG}, {META}, f AS (SELECT min(level) AS level FROM (SELECT level FROM meta GROUP BY level HAVING count(*) >= 4)) SELECT run, bytes FROM meta SEMI JOIN f USING (level) QUALIFY row_number() OVER (ORDER BY bytes, run) <= 4")
+def tiered_pick(spark, sf):
+    return layout.tiered_pick(_meta(spark, sf)).select("run", "bytes")
+
+
+@query(f"WITH {LOG}, {META}, h AS (SELECT run, sum(bytes) OVER (ORDER BY run DESC ROWS UNBOUNDED PRECEDING) AS held FROM meta) SELECT run FROM h WHERE held > 100000")
+def fifo_evict(spark, sf):
+    return layout.fifo_drop(_meta(spark, sf), 100_000).select("run")
+
+
+@query(
+    f"""WITH {LOG}, {META} SELECT count(*) FILTER (level = 0) AS l0_runs, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) FILTER (level = 0) >= 4 AS leveled, count(*) >= 4 AS tiered, sum(bytes) >= 1073741824 AS fifo,
+CASE WHEN count(*) FILTER (level = 0) >= 30 THEN 'halt' WHEN count(*) FILTER (level = 0) >= 20 THEN 'throttle' ELSE 'go' END AS pressure FROM meta"""
+)
+def compaction_state(spark, sf):
+    return layout.strategy_state(_meta(spark, sf))
+
+
+@query("WITH m AS (SELECT o_orderkey // 64 AS run, min(o_custkey) AS min_k, max(o_custkey) AS max_k FROM orders GROUP BY 1) SELECT run FROM m WHERE min_k >= 5 AND max_k <= 1495")
+def drop_range(spark, sf):
+    meta = table(spark, sf, "orders").groupBy(F.floor(F.col("o_orderkey") / 64).cast("long").alias("run")).agg(F.min("o_custkey").alias("min_k"), F.max("o_custkey").alias("max_k"))
+    return layout.droppable(meta, 5, 1495).select("run")
+
+
+# Transactions
+
+OVERLAY = "overlay AS (SELECT user_id % 7 AS tx, 'u' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS k, event_id AS ord, CASE WHEN event_type IN ('error', 'signup') THEN 1 ELSE 0 END AS vt, 'own ' || event_type AS v FROM events WHERE event_id % 11 = 0)"
+
+
+def _overlay(spark, sf):
+    e = table(spark, sf, "events").where("event_id % 11 = 0")
+    return e.select(
+        (F.col("user_id") % 7).alias("tx"), F.concat(F.lit("u"), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("k"), F.col("event_id").alias("ord"), F.when(F.col("event_type").isin("error", "signup"), 1).otherwise(0).alias("vt"), F.concat(F.lit("own "), F.col("event_type")).alias("v")
+    )
+
+
+SEEN = f"""{LOG}, {OVERLAY}, base AS (SELECT k, v FROM (SELECT * FROM log WHERE seqno <= 5000 QUALIFY row_number() OVER (PARTITION BY k ORDER BY seqno DESC) = 1) WHERE vt = 0),
+mine AS (SELECT k, vt, v FROM overlay WHERE tx = 3 QUALIFY row_number() OVER (PARTITION BY k ORDER BY ord DESC) = 1),
+seen AS (SELECT coalesce(m.k, b.k) AS k, CASE WHEN m.k IS NULL THEN b.v ELSE m.v END AS v, m.k IS NOT NULL AS own FROM base b FULL JOIN mine m ON b.k = m.k WHERE coalesce(m.vt, 0) = 0)"""
+
+
+@query(f"WITH {SEEN} SELECT k, v, CAST(strlen(v) AS INTEGER) AS bytes, own FROM seen")
+def tx_ryow(spark, sf):
+    return transactions.read_own_writes(mvcc.resolve(events_log(spark, sf), 5000), _overlay(spark, sf).where("tx = 3"))
+
+
+@query(f"WITH {SEEN} SELECT k, v FROM seen WHERE k <= 'u000030'")
+def tx_take(spark, sf):
+    keys = events_log(spark, sf).where("k <= 'u000030'").select("k").distinct()
+    return transactions.take(mvcc.resolve(events_log(spark, sf), 5000), _overlay(spark, sf).where("tx = 3"), keys)[0]
+
+
+@query(f"WITH {SEEN} SELECT l.k, s.v AS old_v, upper(s.v) AS new_v, CASE WHEN s.v IS NULL THEN 1 ELSE 0 END AS vt FROM (SELECT DISTINCT k FROM log) l LEFT JOIN seen s ON l.k = s.k")
+def tx_fetch_update(spark, sf):
+    keys = events_log(spark, sf).select("k").distinct()
+    return transactions.fetch_update(mvcc.resolve(events_log(spark, sf), 5000), _overlay(spark, sf).where("tx = 3"), keys, F.upper)
+
+
+@query(f"WITH {LOG}, {OVERLAY} SELECT tx, k, vt, v FROM overlay QUALIFY row_number() OVER (PARTITION BY tx, k ORDER BY ord DESC) = 1")
+def tx_commit_rows(spark, sf):
+    return transactions.own_writes(_overlay(spark, sf))
+
+
+def _points(spark, sf):
+    read = mvcc.versions(events_log(spark, sf), 5000).groupBy("k").agg(F.max("seqno").alias("seqno"))
+    absent = events_log(spark, sf).where("seqno > 5000").select("k").distinct().join(read, "k", "left_anti").withColumn("seqno", F.lit(0).cast("long"))
+    return read.unionByName(absent).withColumn("tx", F.pmod(F.col("seqno"), F.lit(5)))
+
+
+@query(f"WITH {LOG}, r AS (SELECT k, coalesce(max(seqno) FILTER (seqno <= 5000), 0) AS seqno, max(seqno) AS latest FROM log GROUP BY k) SELECT seqno % 5 AS tx, k FROM r WHERE latest > seqno")
+def occ_point(spark, sf):
+    return transactions.point_conflicts(events_log(spark, sf), _points(spark, sf))
+
+
+RANGES = "ranges AS (SELECT user_id % 5 AS tx, 'u' || lpad(CAST(min(user_id) AS VARCHAR), 6, '0') AS lo, 'u' || lpad(CAST(min(user_id) + 9 AS VARCHAR), 6, '0') AS hi, max(event_id) - 50 AS seqno FROM events GROUP BY user_id // 10, user_id % 5)"
+
+
+def _ranges(spark, sf):
+    def key(c):
+        return F.concat(F.lit("u"), F.lpad(c.cast("string"), 6, "0"))
+
+    e = table(spark, sf, "events")
+    g = e.groupBy(F.floor(F.col("user_id") / 10).alias("g"), (F.col("user_id") % 5).alias("tx")).agg(F.min("user_id").alias("low"), (F.max("event_id") - 50).alias("seqno"))
+    return g.select("tx", key(F.col("low")).alias("lo"), key(F.col("low") + 9).alias("hi"), "seqno")
+
+
+@query(f"WITH {LOG}, {RANGES} SELECT DISTINCT r.tx, l.k FROM ranges r JOIN log l ON l.k BETWEEN r.lo AND r.hi AND l.seqno > r.seqno")
+def occ_range(spark, sf):
+    return transactions.range_conflicts(events_log(spark, sf), _ranges(spark, sf))
+
+
+@query("SELECT DISTINCT user_id AS tx FROM (SELECT user_id, max(event_id) AS seqno FROM events GROUP BY 1) WHERE seqno < (SELECT max(event_id) + 1 FROM events) - 20")
+def occ_fullscan(spark, sf):
+    scans = table(spark, sf, "events").groupBy(F.col("user_id").alias("tx")).agg((F.max("event_id") + 20).alias("seqno"))
+    return transactions.scan_conflicts(events_log(spark, sf), scans)
+
+
+@query(f"WITH {LOG}, {OVERLAY}, {RANGES} SELECT DISTINCT r.tx, l.k FROM ranges r JOIN log l ON l.k BETWEEN r.lo AND r.hi AND l.seqno > r.seqno ANTI JOIN overlay o ON o.tx = r.tx AND o.k = l.k")
+def occ_compat(spark, sf):
+    return transactions.exempt(transactions.range_conflicts(events_log(spark, sf), _ranges(spark, sf)), _overlay(spark, sf))
+
+
+@query(
+    """WITH r AS (SELECT user_id AS tx, event_id AS lo, event_id + 40 + CAST(floor(value) AS BIGINT) % 60 AS hi, event_id AS seqno FROM events),
+m AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY tx ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS begins FROM r),
+i AS (SELECT *, sum(begins) OVER (PARTITION BY tx ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM m)
+SELECT tx, min(lo) AS lo, max(hi) AS hi, min(seqno) AS seqno FROM i GROUP BY tx, island"""
+)
+def range_merge_islands(spark, sf):
+    reads = table(spark, sf, "events").select(F.col("user_id").alias("tx"), F.col("event_id").alias("lo"), (F.col("event_id") + 40 + F.floor("value").cast("long") % 60).alias("hi"), F.col("event_id").alias("seqno"))
+    return transactions.merged_ranges(reads)
+
+
+# Blobs
+
+def _blobs(spark, sf):
+    values = table(spark, sf, "pages").select(F.col("page_id").alias("k"), F.lit(0).alias("seqno"), F.octet_length("html").cast("long").alias("size"), F.pmod("page_id", F.lit(8)).alias("file_id"))
+    w = Window.partitionBy("file_id").orderBy("k")
+    return values.withColumn("off", (F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")).cast("long"))
+
+
+BLOBS = "b AS (SELECT page_id AS k, strlen(html) AS size, page_id % 8 AS file_id, CAST(sum(strlen(html)) OVER (PARTITION BY page_id % 8 ORDER BY page_id ROWS UNBOUNDED PRECEDING) - strlen(html) AS BIGINT) AS off FROM pages), lab AS (SELECT DISTINCT doc_id FROM labels)"
+
+
+@query("SELECT CASE WHEN strlen(text) >= 4096 THEN 3 ELSE 0 END AS vt, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY 1")
+def blob_split(spark, sf):
+    rows = blobs.separate(table(spark, sf, "documents").select(F.col("doc_id").alias("k"), F.col("text").alias("v")))
+    return rows.groupBy("vt").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").cast("long").alias("bytes"))
+
+
+@query(f"WITH {BLOBS} SELECT doc_id AS k, file_id, off, strlen(html) AS bytes FROM lab JOIN b ON b.k = doc_id JOIN pages ON page_id = doc_id")
+def blob_deref(spark, sf):
+    placed = _blobs(spark, sf)
+    handles = table(spark, sf, "labels").select(F.col("doc_id").alias("k")).distinct().join(placed.select("k", "file_id", "off"), "k")
+    stored = placed.select("k", "file_id", "off").join(table(spark, sf, "pages").select(F.col("page_id").alias("k"), F.col("html").alias("v")), "k").drop("k")
+    return blobs.read(handles, stored).select("k", "file_id", "off", F.octet_length("v").cast("long").alias("bytes"))
+
+
+def _blob_stats(spark, sf):
+    placed = _blobs(spark, sf)
+    live = placed.join(table(spark, sf, "labels").select(F.col("doc_id").alias("k")).distinct(), "k", "left_semi")
+    return placed, live, blobs.statistics(placed, live)
+
+
+STATS = f"{BLOBS}, st AS (SELECT file_id, count(*) AS blobs, CAST(sum(size) AS BIGINT) AS bytes, CAST(coalesce(sum(size) FILTER (k NOT IN (SELECT doc_id FROM lab)), 0) AS BIGINT) AS stale FROM b GROUP BY file_id)"
+
+
+@query(f"WITH {STATS} SELECT * FROM st")
+def blob_gc_live(spark, sf):
+    return _blob_stats(spark, sf)[2]
+
+
+@query(f"WITH {STATS} SELECT file_id FROM st WHERE stale / bytes >= 0.6")
+def blob_gc_candidates(spark, sf):
+    return blobs.candidates(_blob_stats(spark, sf)[2], 0.6).select("file_id")
+
+
+@query(f"WITH {STATS}, c AS (SELECT file_id FROM st WHERE stale / bytes >= 0.6) SELECT k, file_id, off, CAST(sum(size) OVER (PARTITION BY file_id ORDER BY off ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS new_off FROM b SEMI JOIN c USING (file_id) SEMI JOIN lab ON lab.doc_id = b.k")
+def blob_rewrite(spark, sf):
+    placed, live, stats = _blob_stats(spark, sf)
+    return blobs.rewritten(placed, live, blobs.candidates(stats, 0.6)).select("k", "file_id", "off", "new_off")
+
+
+@query(f"WITH {STATS} SELECT CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(stale) AS BIGINT) AS stale, count(*) AS files FROM st")
+def blob_totals(spark, sf):
+    return blobs.totals(_blob_stats(spark, sf)[2])
+
+
+# Metrics, recovery, sizing
+
+
+@query(
+    """WITH m AS (SELECT o_orderpriority AS ks, CAST(o_orderkey % 3 AS INTEGER) AS level, o_orderkey // 100 AS run, count(*) AS entries, CAST(sum(o_custkey) AS BIGINT) AS bytes FROM orders GROUP BY ALL)
+SELECT ks, level, count(*) AS tables, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(entries) AS BIGINT) AS entries FROM m GROUP BY ROLLUP (ks, level)"""
+)
+def metrics_rollup(spark, sf):
+    meta = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("ks"), (F.col("o_orderkey") % 3).cast("int").alias("level"), F.floor(F.col("o_orderkey") / 100).alias("run"))
+    return metrics.rollup(meta.agg(F.count(F.lit(1)).alias("entries"), F.sum("o_custkey").alias("bytes")))
+
+
+@query(f"WITH {LOG} SELECT run, count(*) FILTER (vt = 0) AS n_values, count(*) FILTER (vt = 1) AS n_tombstones, count(*) FILTER (vt = 2) AS n_weak FROM log GROUP BY run")
+def tombstone_counts(spark, sf):
+    return metrics.tombstones(events_log(spark, sf), "run")
+
+
+@query("SELECT user_id, CASE WHEN h + m = 0 THEN 0.0 ELSE CAST(100.0 AS DOUBLE) * h / (h + m) END AS hit_rate FROM (SELECT user_id, count(*) FILTER (event_type = 'view') AS h, count(*) FILTER (event_type = 'error') AS m FROM events GROUP BY 1)")
+def cache_hit_rate(spark, sf):
+    counts = table(spark, sf, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "view").alias("h"), F.count_if(F.col("event_type") == "error").alias("m"))
+    return counts.select("user_id", sizing.hit_rate(F.col("h"), F.col("m")).alias("hit_rate"))
+
+
+@query("WITH r AS (SELECT conv_id AS batch_id, count(*) AS n, max(turn) + 1 AS declared FROM conversations GROUP BY 1) SELECT conv_id AS batch_id, turn FROM conversations JOIN r ON conv_id = batch_id WHERE n = declared")
+def journal_torn_tail(spark, sf):
+    """A conversation declares its last turn + 1 items; one with other turns missing is torn."""
+    c = table(spark, sf, "conversations")
+    declared = c.groupBy(F.col("conv_id").alias("batch_id")).agg((F.max("turn") + 1).alias("declared"))
+    records = c.select(F.col("conv_id").alias("batch_id"), "turn").join(declared, "batch_id")
+    return replication.complete_batches(records).select("batch_id", "turn")
+
+
+@query(
+    "WITH j AS (SELECT o_orderkey // 500 AS journal, bool_and(o_orderstatus <> 'P' OR o_custkey % 5 <> 0) AS done FROM orders GROUP BY 1) SELECT journal FROM j WHERE journal < coalesce((SELECT min(journal) FROM j WHERE NOT done), 1000000000)"
+)
+def journal_evictable(spark, sf):
+    o = table(spark, sf, "orders")
+    behind = (F.col("o_orderstatus") == "P") & (F.col("o_custkey") % 5 == 0)
+    journals = o.select(F.floor(F.col("o_orderkey") / 500).cast("long").alias("journal"), F.col("o_orderpriority").alias("ks"), F.when(behind, 0).otherwise(1).alias("persisted"), F.lit(1).alias("lsn"))
+    return metrics.evictable(journals)
+
+
+BLOOM = "s AS (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1), t AS (SELECT *, greatest(CAST(ceil(-n * ln(0.01) / (ln(2) * ln(2))) AS BIGINT), 64) AS bits FROM s), u AS (SELECT *, CAST(least(greatest(round(bits / n * ln(2)), 1), 30) AS INTEGER) AS hashes FROM t)"
+
+
+def _bloom(spark, sf):
+    n = table(spark, sf, "customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+    sized = n.withColumn("bits", sizing.filter_bits(F.col("n"), F.lit(0.01)))
+    return sized.withColumn("hashes", sizing.filter_hashes(F.col("n"), F.col("bits")))
+
+
+@query(f"WITH {BLOOM} SELECT c_mktsegment, n, bits, hashes FROM u")
+def bloom_sizing(spark, sf):
+    return _bloom(spark, sf)
+
+
+@query(f"WITH {BLOOM} SELECT c_mktsegment, round(pow(1 - exp(-hashes * n / bits), hashes), 9) AS fpr FROM u")
+def bloom_fpr(spark, sf):
+    return _bloom(spark, sf).select("c_mktsegment", F.round(sizing.false_positive_rate(F.col("n"), F.col("bits"), F.col("hashes")), 9).alias("fpr"))
+
+
+@query("SELECT o_orderkey, CAST(ceil(length(bin(o_orderkey * o_orderkey)) / 7.0) AS INTEGER) AS bytes FROM orders")
+def varint_sizes(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", sizing.varint_bytes(F.col("o_orderkey") * F.col("o_orderkey")).alias("bytes"))
+
+
+@query(
+    """WITH a AS (SELECT conv_id, list(turn ORDER BY turn) AS t FROM conversations GROUP BY 1), i AS (SELECT conv_id, t, unnest(range(1, len(t) + 1)) AS s FROM a),
+j AS (SELECT conv_id, t, s, unnest(range(s, len(t) + 1)) AS e FROM i) SELECT conv_id, t[s] AS first_turn, t[e] AS last_turn, CAST(e - s + 1 AS INTEGER) AS size FROM j"""
+)
+def slice_windows(spark, sf):
+    grouped = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("t"))
+    each = grouped.select("conv_id", F.explode(sizing.slices(F.col("t"), 1, F.size("t"))).alias("s"))
+    return each.select("conv_id", F.element_at("s", 1).alias("first_turn"), F.element_at("s", -1).alias("last_turn"), F.size("s").alias("size"))
+
+
+@query("SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS name, count(*) AS n, length(regexp_extract(url, '^[a-z]+://([^/]+)', 1)) BETWEEN 1 AND 255 AS valid FROM pages GROUP BY 1")
+def keyspace_names(spark, sf):
+    name = F.regexp_extract("url", "^[a-z]+://([^/]+)", 1)
+    return table(spark, sf, "pages").groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("n")).select("name", "n", F.length("name").between(1, 255).alias("valid"))
+
+
+# Replicated logs
+
+
+@query("SELECT conv_id AS term, max(turn) AS last_idx, count(*) AS entries FROM conversations GROUP BY 1")
+def raft_replay(spark, sf):
+    return replication.last_entry(table(spark, sf, "conversations").select(F.col("conv_id").alias("term"), F.col("turn").alias("idx")))
+
+
+@query("SELECT term, idx, before FROM (SELECT l_orderkey AS term, CAST(l_linenumber AS BIGINT) AS idx, CAST(lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS BIGINT) AS before FROM lineitem) WHERE idx - before <> 1")
+def raft_gap_check(spark, sf):
+    return replication.gaps(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("term"), F.col("l_linenumber").cast("long").alias("idx")))
+
+
+@query(
+    """WITH l AS (SELECT event_id // 100 AS grp, event_id % 100 AS idx, value >= 5 AS ok FROM events WHERE event_id % 100 <> 60),
+m AS (SELECT *, CASE WHEN ok AND idx - coalesce(lag(idx) OVER (PARTITION BY grp ORDER BY idx), idx - 1) = 1 THEN 0 ELSE 1 END AS bad FROM l),
+b AS (SELECT *, sum(bad) OVER (PARTITION BY grp ORDER BY idx ROWS UNBOUNDED PRECEDING) AS broken FROM m) SELECT grp, idx FROM b WHERE broken = 0"""
+)
+def raft_valid_prefix(spark, sf):
+    """Logs of a hundred entries; entry 60 is missing from each, and small values are corrupt."""
+    e = table(spark, sf, "events").where("event_id % 100 <> 60")
+    log = e.select(F.floor(F.col("event_id") / 100).cast("long").alias("grp"), (F.col("event_id") % 100).alias("idx"), (F.col("value") >= 5).alias("ok"))
+    return replication.valid_prefix(log).select("grp", "idx")
+
+
+@query("WITH l AS (SELECT l_orderkey AS grp, CAST(l_linenumber AS BIGINT) AS idx, max(l_suppkey % 5) AS a, max(l_partkey % 5) AS b FROM lineitem GROUP BY ALL) SELECT grp, min(idx) AS conflict_idx FROM l WHERE a <> b GROUP BY 1")
+def raft_conflict_index(spark, sf):
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("grp"), F.col("l_linenumber").cast("long").alias("idx"), (F.col("l_suppkey") % 5).alias("a"), (F.col("l_partkey") % 5).alias("b"))
+    lead, own = (lines.groupBy("grp", "idx").agg(F.max(c).alias("term")) for c in ("a", "b"))
+    return replication.first_conflict(lead, own)
+
+
+@query("WITH m AS (SELECT CAST(user_id % 9 AS INTEGER) AS grp, user_id AS node, max(event_id) AS idx FROM events GROUP BY ALL) SELECT grp, idx AS commit_idx FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY idx DESC, node) AS rn, count(*) OVER (PARTITION BY grp) AS n FROM m) WHERE rn = n // 2 + 1")
+def majority_commit(spark, sf):
+    matches = table(spark, sf, "events").groupBy((F.col("user_id") % 9).cast("int").alias("grp"), F.col("user_id").alias("node")).agg(F.max("event_id").alias("idx"))
+    return replication.commit_index(matches)
+
+
+@query(
+    """WITH m AS (SELECT user_id % 9 AS grp, user_id AS node, max(event_id) AS idx FROM events GROUP BY ALL),
+c AS (SELECT grp, idx FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY idx DESC, node) AS rn, count(*) OVER (PARTITION BY grp) AS n FROM m) WHERE rn = n // 2 + 1)
+SELECT c.grp, max(e.event_id) AS commit_idx FROM c JOIN events e ON e.user_id % 9 = c.grp AND e.event_id <= c.idx WHERE e.event_type = 'view' GROUP BY 1"""
+)
+def majority_commit_term(spark, sf):
+    """Only entries of the current term (here: views) move the commit index."""
+    e = table(spark, sf, "events")
+    matches = e.groupBy((F.col("user_id") % 9).alias("grp"), F.col("user_id").alias("node")).agg(F.max("event_id").alias("idx"))
+    terms = e.select((F.col("user_id") % 9).alias("grp"), F.col("event_id").alias("idx"), F.when(F.col("event_type") == "view", 2).otherwise(1).alias("term"))
+    return replication.commit_index(matches, terms, 2)
+
+
+@query("SELECT o_orderkey, o_custkey % 3 > c_nationkey % 3 OR (o_custkey % 3 = c_nationkey % 3 AND o_orderkey >= c_custkey * 10) AS granted FROM orders JOIN customer ON o_custkey = c_custkey")
+def vote_grant(spark, sf):
+    both = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return both.select("o_orderkey", replication.up_to_date(F.col("o_custkey") % 3, F.col("o_orderkey"), F.col("c_nationkey") % 3, F.col("c_custkey") * 10).alias("granted"))
+
+
+@query("SELECT o_custkey AS term, o_orderstatus AS candidate, count(DISTINCT o_orderpriority) AS votes FROM orders GROUP BY 1, 2 HAVING count(DISTINCT o_orderpriority) >= 3")
+def elected(spark, sf):
+    votes = table(spark, sf, "orders").select(F.col("o_custkey").alias("term"), F.col("o_orderstatus").alias("candidate"), F.col("o_orderpriority").alias("voter"), F.lit(5).alias("cluster"))
+    return replication.elected(votes).select("term", "candidate", "votes")
+
+
+@query(f"WITH {LOG} SELECT k, v, seqno AS idx FROM (SELECT * FROM log WHERE seqno <= 8000 QUALIFY row_number() OVER (PARTITION BY k ORDER BY seqno DESC) = 1) WHERE vt = 0")
+def raft_state(spark, sf):
+    log = events_log(spark, sf).select(F.col("seqno").alias("idx"), F.when(F.col("vt") == 0, "SET").otherwise("DELETE").alias("op"), "k", "v")
+    return replication.state(log, 8000)
+
+
+@query(
+    """WITH l AS (SELECT user_id % 10 AS grp, event_id AS idx, CASE event_type WHEN 'signup' THEN 'RECONFIGURE' WHEN 'error' THEN 'REMOVE' ELSE 'ADD' END AS op, user_id AS node FROM events),
+s AS (SELECT grp, max(idx) AS since FROM l WHERE op = 'RECONFIGURE' GROUP BY 1)
+SELECT grp, node FROM (SELECT l.* FROM l LEFT JOIN s USING (grp) WHERE since IS NULL OR idx >= since QUALIFY row_number() OVER (PARTITION BY grp, node ORDER BY idx DESC) = 1) WHERE op <> 'REMOVE'"""
+)
+def raft_membership(spark, sf):
+    op = F.when(F.col("event_type") == "signup", "RECONFIGURE").when(F.col("event_type") == "error", "REMOVE").otherwise("ADD")
+    return replication.membership(table(spark, sf, "events").select((F.col("user_id") % 10).alias("grp"), F.col("event_id").alias("idx"), op.alias("op"), F.col("user_id").alias("node")))
+
+
+@query("SELECT min(idx) AS first_idx, max(idx) AS last_idx, count(*) AS entries FROM (SELECT event_id AS idx FROM events) WHERE idx > 4000 AND idx < 9000")
+def raft_truncate(spark, sf):
+    """A snapshot replaces the entries up to its index; a conflict drops those from an index on."""
+    log = table(spark, sf, "events").select(F.col("event_id").alias("idx"))
+    return log.where("idx > 4000 and idx < 9000").agg(F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), F.count(F.lit(1)).alias("entries"))
+
+
+# Clocks and ids
+
+STAMPS = "t AS (SELECT event_id, user_id, event_id * 1000 AS t1, event_id * 1000 + CAST(floor(value * 10) AS BIGINT) AS t2, event_id * 1000 + CAST(floor(value * 10) AS BIGINT) + 50 AS t3, event_id * 1000 + 300 AS t4 FROM events)"
+
+
+def _stamps(spark, sf):
+    shift = F.floor(F.col("value") * 10).cast("long")
+    t1 = F.col("event_id") * 1000
+    return table(spark, sf, "events").select("event_id", "user_id", t1.alias("t1"), (t1 + shift).alias("t2"), (t1 + shift + 50).alias("t3"), (t1 + 300).alias("t4"))
+
+
+@query(f'WITH {STAMPS} SELECT event_id, ((t2 - t1) + (t3 - t4)) / 2.0::DOUBLE AS "offset", (t4 - t1) - (t3 - t2) AS delay FROM t')
+def ntp_offset_delay(spark, sf):
+    c = [F.col(f"t{i}") for i in (1, 2, 3, 4)]
+    return _stamps(spark, sf).select("event_id", clock.offset(*c).alias("offset"), clock.delay(*c).alias("delay"))
+
+
+@query("WITH s AS (SELECT event_type, avg(value) AS m, stddev_pop(value) AS d, count(*) AS n FROM events GROUP BY 1) SELECT event_id FROM events JOIN s USING (event_type) WHERE n < 3 OR abs(value - m) <= 2 * d")
+def outlier_2sigma(spark, sf):
+    return clock.without_outliers(table(spark, sf, "events"), "event_type", "value").select("event_id")
+
+
+@query(
+    """WITH s AS (SELECT user_id % 10 AS grp, CAST(floor(value) AS BIGINT) AS o, sum((1 + event_id % 3) * length(event_type)) AS w FROM events GROUP BY ALL),
+r AS (SELECT *, sum(w) OVER (PARTITION BY grp ORDER BY o ROWS UNBOUNDED PRECEDING) AS run, sum(w) OVER (PARTITION BY grp) AS total FROM s) SELECT grp, min(o) AS consensus FROM r WHERE run * 2 >= total GROUP BY grp"""
+)
+def weighted_median(spark, sf):
+    """Weight: confidence times the length of the peer's name."""
+    samples = table(spark, sf, "events").select((F.col("user_id") % 10).alias("grp"), F.floor("value").cast("long").alias("o"), ((1 + F.col("event_id") % 3) * F.length("event_type")).alias("w"))
+    return clock.weighted_median(samples, ["grp"], "o", "w")
+
+
+@query(
+    """WITH s AS (SELECT user_id, avg(value) AS m, stddev_pop(value) AS d, count(*) AS n FROM events GROUP BY 1), k AS (SELECT user_id, count(*) AS kept FROM events JOIN s USING (user_id) WHERE n < 3 OR abs(value - m) <= 2 * d GROUP BY 1)
+SELECT s.user_id, CASE WHEN n >= 2 AND coalesce(kept, 0) >= 2 THEN 'synchronized' ELSE 'failed' END AS state FROM s LEFT JOIN k USING (user_id)"""
+)
+def sync_state(spark, sf):
+    e = table(spark, sf, "events")
+    before = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    after = clock.without_outliers(e, "user_id", "value").groupBy("user_id").agg(F.count(F.lit(1)).alias("kept"))
+    return before.join(after, "user_id", "left").select("user_id", clock.sync_state(F.col("n"), F.coalesce("kept", F.lit(0))).alias("state"))
+
+
+@query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 10")
+def ring_last_n(spark, sf):
+    return clock.last_n(table(spark, sf, "events"), "user_id", "event_id", 10).select("user_id", "event_id")
+
+
+@query("SELECT event_id, (epoch_us(ts) // 1000) * 4194304 + (user_id % 1024) * 4096 + event_id % 4096 AS txid FROM events")
+def txid_pack(spark, sf):
+    ms = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long")
+    return table(spark, sf, "events").select("event_id", clock.transaction_id(ms, F.col("user_id"), F.col("event_id")).alias("txid"))
+
+
+@query("SELECT event_id, 'FEFF01' || lpad(hex(event_id * 1000003), 16, '0') AS request, 'FEFF02' || lpad(hex(event_id * 7), 16, '0') || lpad(hex(user_id), 16, '0') AS response, user_id AS t3 FROM events")
+def packet_hex(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "user_id", sizing.request_packet(F.col("event_id") * 1000003).alias("request"), sizing.response_packet(F.col("event_id") * 7, F.col("user_id")).alias("response"))
+    return e.select("event_id", "request", "response", sizing.packet_time(F.col("response"), 11).alias("t3"))
+
+
+@query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, min(value) AS least, max(value) AS most FROM events GROUP BY 1")
+def latency_percentiles(spark, sf):
+    return metrics.latencies(table(spark, sf, "events"), "event_type", "value")
+
+
+# Streaming
+
+
+@query(f"WITH {LOG} SELECT k, seqno, vt, v FROM ({NEWEST})")
+def stream_lww(spark, sf):
+    """The newest versions by a stream over the events file, drained into a table."""
+    source = table(spark, sf, "events")
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    files = spark.readStream.schema(source.schema).parquet(f"{sf}/events.parquet*")
+    vt = F.when(F.col("event_type") == "error", 1).when(F.col("event_type") == "signup", 2).otherwise(0)
+    log = files.select(F.concat(F.lit("u"), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("k"), (F.col("event_id") + 1).alias("seqno"), vt.alias("vt"), F.col("props").alias("v"))
+    latest.write_table(latest.newest_stream(log), f"{folder}/table", f"{folder}/state")
+    return latest.read_table(spark, f"{folder}/table", "k string, seqno long, vt int, v string")
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
