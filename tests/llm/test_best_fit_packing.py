@@ -29,7 +29,7 @@ def test_words_equal_whole_texts():
 def test_sweep_takes_the_tightest_gap():
     # sizes from large to small: a gap of 9, a piece of 8, gaps of 5 (two), pieces of 4 (three)
     runs = P.sweep([(9, 1, 0), (8, 0, 1), (5, 2, 0), (4, 0, 3)])
-    assert runs == [(8, 1, 2, 0), (4, 4, 6, 2)]
+    assert runs == [(8, 1, 2, 0, 9), (4, 4, 6, 2, 5)]
 
 
 def checked(rows, capacity):

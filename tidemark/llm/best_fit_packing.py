@@ -5,8 +5,8 @@ over those counts (at most `capacity` sizes of each kind, whatever the input) gi
 to runs of equal gaps: from large to small, each piece takes the tightest gap still open. Where many
 pieces want the same gaps, their rank in the sorted order decides. The runs are broadcast, the matching
 of pieces with gaps is a join on rank, gaps are updated, and the next round begins. Pieces longer than
-every gap get new sequences. A gap that holds many of the longest piece left is offered as that many
-slots, so that short pieces do not need a round each.
+every gap get new sequences. A gap that holds the longest piece left many times is cut into several, so
+that short pieces do not need a round each.
 
 Defined cases: a null text is the empty text and holds only the end id; texts longer than the capacity
 are cut into full pieces and a last shorter one; repeated rows are packed each; ties are broken by row;
@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,9 @@ CAPACITY, END = 4096, 1
 #: Distinct words a worker keeps; beyond it the cache starts anew.
 CACHED = 300_000
 
+#: Equal ranges of positions by which runs are looked up.
+BUCKETS = 8192
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -98,8 +103,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
-def sweep(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """Runs (size, first position, end, first gap position) from (size, gaps, pieces), largest size first.
+def sweep(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """Runs (size, first position, end, first gap position, gap size) from (size, gaps, pieces), largest size first.
 
     Positions count gaps and pieces in sorted order, the gaps of a size before its pieces.
     """
@@ -107,13 +112,13 @@ def sweep(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]
     runs, at = [], 0
     for size, gaps, wanting in counts:
         if gaps:
-            open_.append([at, gaps])
+            open_.append([at, gaps, size])
         at += gaps
         first, left = at, wanting
         while left and open_:
             gap = open_[-1]
             take = min(left, gap[1])
-            runs.append((size, first, first + take, gap[0]))
+            runs.append((size, first, first + take, gap[0], gap[2]))
             first, left = first + take, left - take
             gap[0] += take
             gap[1] -= take
@@ -123,66 +128,88 @@ def sweep(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]
     return runs
 
 
+def _slots(size: int, longest: int, share: int) -> int:
+    """How many gaps a gap is cut into: each has room for the longest piece left twice, so that fits stay tight."""
+    return max(1, min(size // (2 * longest), share))
+
+
+def _plan(runs: list[tuple[int, int, int, int, int]], total: int) -> tuple[int, list[tuple]]:
+    """Rows (bucket, lo, hi, gap_at, take) for the pieces and the gaps of all runs, by equal buckets of positions.
+
+    There are at most BUCKETS buckets, so the rows number at most that many plus twice the runs.
+    """
+    width = max(1, -(-total // BUCKETS))
+    rows = []
+    for size, lo, hi, gap_at, _ in runs:
+        for low, high, first, take in ((lo, hi, gap_at, None), (gap_at, gap_at + hi - lo, None, size)):
+            rows += [(b, low, high, first, take) for b in range(low // width, (high - 1) // width + 1)]
+    return width, rows
+
+
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """item, sequence_id, offset for items(item long, length long), lengths from 1 to capacity."""
+    """item, sequence_id, offset for items(item long, length long), lengths from 1 to capacity.
+
+    The driver holds counts by size only. A round is one range sort; the pieces and gaps that it matched
+    are joined by their positions after the last one.
+    """
     spark = items.sparkSession
     scratch = Scratch(spark, "pack")
-    total = items.agg(F.count(F.lit(1)), F.sum("length")).first()
-    left, placed_all, bins, used = int(total[0]), None, None, 0
-    wanted, longest, turn = -(-int(total[1] or 0) // capacity), capacity, 0
-    waiting, held, open_bins = items.select("item", "length"), [], 0
-    while left:
-        turn += 1
+    rest = Counter({int(r.length): int(r.n) for r in items.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()})  # at most capacity rows
+    room: Counter = Counter()
+    rows = items.select(F.lit(1).alias("kind"), F.col("length").alias("size"), F.col("item").alias("id"))
+    used, turn, pieces_of, gaps_of = 0, 0, [], []
+    while rest:
+        widest = max(room, default=0)
+        stuck = sum(s * n for s, n in rest.items() if s > widest)
+        short = sum(s * n for s, n in rest.items()) - sum(s * n for s, n in room.items())  # needs new sequences however dealt
+        wanted, turn = -(-max(stuck, short, 0) // capacity), turn + 1
         if wanted:
-            new = spark.range(used, used + wanted).select(F.col("id").alias("bin"), F.lit(capacity).cast("long").alias("gap"))
-            bins, used = new if bins is None else bins.unionByName(new), used + wanted
-        share = max(1, -(-2 * left // max(open_bins + wanted, 1)))
-        slots = F.least(F.floor(F.col("gap") / max(longest, 1)).cast("long"), F.lit(share).cast("long"))
-        slots = F.greatest(slots, F.lit(1).cast("long"))
-        offered = bins.withColumn("n", slots).select("bin", F.floor(F.col("gap") / F.col("n")).cast("long").alias("size"), F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("slot"))
-        both = offered.select(F.lit(0).alias("kind"), "size", F.col("bin").alias("id"), "slot").unionByName(
-            waiting.select(F.lit(1).alias("kind"), F.col("length").alias("size"), F.col("item").alias("id"), F.lit(0).cast("long").alias("slot"))
-        )
-        order = [F.desc("size"), F.asc("kind"), F.asc("id"), F.asc("slot")]
-        stored = ranked = scratch.save(both.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "ranked")
+            rows = rows.unionByName(spark.range(used, used + wanted).select(F.lit(0).alias("kind"), F.lit(capacity).cast("long").alias("size"), "id"))
+            room[capacity] += wanted
+            used += wanted
+        longest = max((s for s in rest if s <= max(room)), default=1)
+        share = max(1, -(-2 * rest.total() // max(room.total(), 1)))
+        # A gap becomes n gaps of size // n, the first of which also takes the remainder.
+        n = F.when(F.col("kind") == 0, F.greatest(F.lit(1).cast("long"), F.least(F.floor(F.col("size") / (2 * longest)).cast("long"), F.lit(share).cast("long")))).otherwise(F.lit(1).cast("long")).cast("int")
+        each = F.expr("transform(sequence(1, n), i -> cast(if(i = 1, size - (n - 1) * (size div n), size div n) as long))")
+        rows = rows.withColumn("n", n).select("kind", F.explode(each).alias("size"), "id")
+        offered: Counter = Counter()
+        for size, count in room.items():
+            k = _slots(size, longest, share)
+            offered[size - (k - 1) * (size // k)] += count
+            if k > 1:
+                offered[size // k] += count * (k - 1)
+        order = [F.desc("size"), F.asc("kind"), F.asc("id")]
+        ranked = scratch.save(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "ranked")
         part = F.shiftright("at", 33)
-        seen = ranked.groupBy(part.alias("part"), "kind", "size").count().toPandas()  # at most partitions + 2 * capacity rows
-        by_part = seen.groupby("part")["count"].sum().sort_index()
-        offsets = spark.createDataFrame([(int(p), int(o)) for p, o in zip(by_part.index, by_part.cumsum() - by_part, strict=True)], "part long, base long")
-        by_size = seen.pivot_table(index="size", columns="kind", values="count", aggfunc="sum", fill_value=0).reindex(columns=[0, 1], fill_value=0).sort_index(ascending=False)
-        runs = sweep([(int(s), int(g), int(n)) for s, g, n in by_size.itertuples()])
-        plan = spark.createDataFrame(runs, "size long, lo long, hi long, gap_at long")
-        ranked = ranked.join(F.broadcast(offsets), part == F.col("part")).withColumn("at", F.col("base") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
-        gaps = ranked.where("kind = 0").select(F.col("at").alias("gap_at"), F.col("id").alias("bin"), "slot")
-        mine = ranked.where("kind = 1").select(F.col("id").alias("item"), F.col("size").alias("length"), "at")
-        inside = (F.col("length") == F.col("size")) & (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi"))
-        keyed = mine.join(F.broadcast(plan), inside, "left").select("item", "length", (F.col("gap_at") + F.col("at") - F.col("lo")).alias("gap_at"))
-        placed = scratch.save(keyed.where("gap_at is not null").join(gaps, "gap_at").select("item", "length", "bin", "slot", F.lit(turn).alias("turn")), "placed")
-        placed_all = placed if placed_all is None else placed_all.unionByName(placed)
-
-        done = sum(hi - lo for _, lo, hi, _ in runs)
-        left -= done
-        if not left:
-            break
-        rest = {int(s): int(n) for s, n in by_size[1].items() if n}
-        for size, lo, hi, _ in runs:
+        counts = sorted((r.part, r["count"]) for r in ranked.groupBy(part.alias("part")).count().collect())  # a row for each partition
+        bases = spark.createDataFrame(list(zip([p for p, _ in counts], accumulate([0, *(c for _, c in counts)]), strict=False)), "part long, base long")
+        runs = sweep([(s, offered[s], rest[s]) for s in sorted(set(offered) | set(rest), reverse=True)])
+        width, plan = _plan(runs, offered.total() + rest.total())
+        plan = F.broadcast(spark.createDataFrame(plan, "bucket long, lo long, hi long, gap_at long, take long"))
+        numbered = ranked.withColumn("part", part).join(F.broadcast(bases), "part").withColumn("at", F.col("base") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
+        numbered = numbered.withColumn("bucket", F.floor(F.col("at") / width).cast("long")).alias("r")
+        found = numbered.join(plan.alias("p"), (F.col("r.bucket") == F.col("p.bucket")) & (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")), "left")
+        found = found.select("kind", "size", "id", "at", (F.col("gap_at") + F.col("at") - F.col("lo")).alias("gap_at"), "take", F.col("lo").isNotNull().alias("met"))
+        pieces_of.append(found.where("kind = 1 and met").select(F.lit(turn).alias("turn"), "gap_at", F.col("id").alias("item"), F.col("size").alias("length")))
+        gaps_of.append(found.where("kind = 0 and met").select(F.lit(turn).alias("turn"), F.col("at").alias("gap_at"), F.col("id").alias("bin")))
+
+        room = offered
+        for size, lo, hi, _, gap in runs:
             rest[size] -= hi - lo
-        rest = {s: n for s, n in rest.items() if n}
-        filled = placed.groupBy("bin").agg(F.sum("length").alias("filled"))
-        old, bins = bins, bins.join(filled, "bin", "left").select("bin", (F.col("gap") - F.coalesce("filled", F.lit(0))).alias("gap"))
-        bins = scratch.save(bins.where(F.col("gap") >= min(rest)), "gaps")
-        widest, room, open_bins = (int(x or 0) for x in bins.agg(F.max("gap"), F.sum("gap"), F.count("gap")).first())
-        stuck = sum(s * n for s, n in rest.items() if s > widest)
-        short = sum(s * n for s, n in rest.items()) - room  # these need new sequences however they are dealt
-        wanted = -(-max(stuck, short, 0) // capacity)
-        longest = max((s for s in rest if s <= (capacity if wanted else widest)), default=1)
-        waiting = keyed.where("gap_at is null").select("item", "length")
-        scratch.drop(old, *held)  # what this round read; the next one reads stored once more
-        held = [stored]
-    if placed_all is None:
+            room[gap] -= hi - lo
+            room[gap - size] += hi - lo
+        rest = +rest
+        least = min(rest, default=0)
+        room = Counter({s: n for s, n in room.items() if n and s >= max(least, 1)})
+        size = F.col("size") - F.coalesce("take", F.lit(0))
+        rows = found.where("(kind = 1 and not met) or kind = 0").select("kind", size.alias("size"), "id").where((F.col("kind") == 1) | (F.col("size") >= max(least, 1)))
+    if not turn:
         return items.select("item", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).limit(0)
-    before = "sum(length) over (partition by bin order by turn, slot, item rows between unbounded preceding and 1 preceding)"
-    return placed_all.select("item", F.col("bin").alias("sequence_id"), F.coalesce(F.expr(before), F.lit(0)).cast("long").alias("offset"))
+    pieces_, gaps_ = reduce(DataFrame.unionByName, pieces_of), reduce(DataFrame.unionByName, gaps_of)
+    before = "sum(length) over (partition by bin order by turn, gap_at rows between unbounded preceding and 1 preceding)"
+    placed = pieces_.join(gaps_, ["turn", "gap_at"])
+    return placed.select("item", F.col("bin").alias("sequence_id"), F.coalesce(F.expr(before), F.lit(0)).cast("long").alias("offset"))
 
 
 def best_fit_packing(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
