@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import best_fit_packing, exact_dedup, language_id, minhash_dedup, substring_dedup
-from tidemark.llm.shared import Scratch
+from tidemark.llm.shared import Scratch, small
 
 #: A document whose language is less certain than this is rejected, as is one without any letter.
 LEAST_CERTAIN = 0.5
@@ -18,8 +18,8 @@ LEAST_CERTAIN = 0.5
 
 def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """The rows of docs that a verdict table(doc_id, kept) keeps; rows that repeat a doc_id go down to one."""
-    keep = verdicts.where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    keep = Scratch(docs.sparkSession, "kept").save(verdicts.where("kept and doc_id is not null").select("doc_id").distinct())
+    return docs.join(small(keep), "doc_id", "left_semi").select(*docs.columns)
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,8 @@ def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def stage_substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that a document with a smaller doc_id also holds are cut out."""
-    return substring_dedup.without_passages(docs, substring_dedup.passages(docs))
+    found = Scratch(spark, "passages").save(substring_dedup.passages(docs))
+    return substring_dedup.without_passages(docs, found)
 
 
 def stage_pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
