@@ -19,7 +19,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.shared import small
+from tidemark.llm.shared import Scratch, small
 
 # Element names of HTML, and common class and id words of what is not an article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -193,7 +193,7 @@ def paths(pages: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages(page_id, url, html)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of().alias("host"))
-    winning = paths(rows.select("host", "html"))
+    winning = Scratch(pages.sparkSession, "paths").save(paths(rows.select("host", "html")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.shared import crc_fold, steps
+from tidemark.llm.shared import Scratch, crc_fold, steps
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the beginnings of words that are tokens of their own.
@@ -164,6 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_tokens
     sample = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     train = docs.join(F.broadcast(sample), "doc_id").select("text", "toxic")  # bounded by most_rows
     counts = train.mapInArrow(_count, "token string, toxic int, n long").groupBy("token").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n"))).alias("yes"), F.sum(F.when(F.col("toxic") == 0, F.col("n"))).alias("no")).na.fill(0)
+    counts = Scratch(spark, "toxic").save(counts.where("yes >= 3 or token = ''"))
     totals = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not totals.get(0) or not totals.get(1):
         share = totals.get(1, 0) / max(sum(totals.values()), 1)
@@ -173,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_tokens
     yes, no = F.col("yes") + F.col("alpha"), F.col("no") + F.col("alpha")
     odds = F.log(yes / (n_yes + PRIOR - yes)) - F.log(no / (n_no + PRIOR - no))
     prior = F.lit(0.5) + PRIOR * (F.col("yes") + F.col("no")) / max(n_yes + n_no, 1.0)
-    weighed = counts.where("token <> '' and yes >= 3").withColumn("alpha", prior).select("token", (odds - DEVIATIONS * F.sqrt(1 / yes + 1 / no)).alias("weight"))
+    weighed = counts.where("token <> ''").withColumn("alpha", prior).select("token", (odds - DEVIATIONS * F.sqrt(1 / yes + 1 / no)).alias("weight"))
     top = weighed.where("weight > 0").orderBy(F.desc("weight"), "token").limit(most_tokens).toPandas()
     weights = dict(zip(top.token, top.weight.round(3), strict=True))
     shared = spark.sparkContext.broadcast(weights)
