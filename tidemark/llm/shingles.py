@@ -3,22 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
 WORDS = 5
-#: Distinct words a worker keeps; beyond it the cache starts anew.
-CACHED = 400_000
+#: Bytes that one step of hashing handles; a longer single text is a step of its own.
+STEP = 250_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
+#: An odd factor of the polynomial hash and its inverse modulo 2**64.
+_BASE = 0xD1342543DE82EF95
+_BACK = pow(_BASE, -1, 1 << 64)
+_VALUES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -28,17 +23,46 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _powers(n: int, held: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006  kept between calls
+    if len(held.get("up", ())) < n:
+        for name, factor in (("up", _BASE), ("down", _BACK)):
+            held[name] = np.cumprod(np.full(n, factor, np.uint64))
+    return held["up"], held["down"]
+
+
+def _hashed(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the parts, and how many words each part has."""
+    data = np.frombuffer(b"\n".join(parts).lower() + b"\n", np.uint8)
+    begins = np.concatenate(([0], np.cumsum([len(p) + 1 for p in parts])))
+    gap = _SPACE[data]
+    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    if len(data) and not gap[0]:
+        edge = np.concatenate(([0], edge))
+    start, stop = edge[::2], edge[1::2]
+    up, down = _powers(len(data))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_VALUES[data] * up[: len(data)])))
+    words = mixed((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
+    return words, np.diff(np.searchsorted(start, begins))
+
+
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words, and where each text's words begin and end.
 
-    Words are runs without white space (\\x20, \\x09-\\x0D); only A-Z are lower-cased, as bytes do.
+    Words are runs without white space (\\x20, \\x09-\\x0D); only A-Z are lower-cased, as bytes do. A word's
+    hash is a polynomial over its bytes, taken from prefix sums over the whole step.
     """
-    if len(_hashes) > CACHED:
-        _hashes.clear()
-    parts = [t.encode().lower().split() for t in texts]
-    bounds = np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64)))
-    flat = (w for p in parts for w in p)
-    return np.fromiter(map(_hashes.__getitem__, flat), np.uint64, int(bounds[-1])), bounds
+    words, counts, held, size = [], [], [], 0
+    for part in [t.encode() for t in texts] + [None]:
+        if held and (part is None or size + len(part) > STEP):
+            w, c = _hashed(held)
+            words.append(w)
+            counts.append(c)
+            held, size = [], 0
+        if part is not None:
+            held.append(part)
+            size += len(part)
+    none = np.zeros(0, np.uint64)
+    return np.concatenate([none, *words]), np.concatenate(([0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *counts])))).astype(np.int64)
 
 
 def windows(words: np.ndarray, size: int) -> np.ndarray:
