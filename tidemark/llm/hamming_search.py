@@ -52,11 +52,13 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     index = scratch.save(index, "index")
     asked = scratch.save(queries.where("code is not null").select(F.col("id").alias("query_id"), F.col("code").alias("query")), "queries")
     open_ = scratch.save(asked.select("query").distinct(), "open")
+    changes = spark.createDataFrame([(r, masks(r)) for r in range(WIDTH + 1)], "radius int, masks array<int>")  # 2**WIDTH numbers
     met = spark.createDataFrame([], "query long, code long, distance int, held int")
     least = F.least(*[F.bit_count(_segment(F.col("query").bitwiseXOR(F.col("code")), i)) for i in range(SEGMENTS)])
     for radius in range(WIDTH + 1):
         probes = open_.select("query", F.posexplode(F.array(*[_segment(F.col("query"), i) for i in range(SEGMENTS)])).alias("segment", "own"))
-        probes = probes.select("query", "segment", F.explode(F.transform(F.lit(masks(radius)), lambda m: F.col("own").bitwiseXOR(m.cast("int")))).alias("value"))
+        probes = probes.withColumn("radius", F.lit(radius)).join(F.broadcast(changes), "radius")
+        probes = probes.select("query", "segment", F.explode("masks").alias("mask"), "own").select("query", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
         found = probes.join(index, ["segment", "value"])
         apart = F.col("query").bitwiseXOR(F.col("code"))
         earlier = [(F.col("segment") > i) & (F.bit_count(_segment(apart, i)) <= radius) for i in range(SEGMENTS)]
