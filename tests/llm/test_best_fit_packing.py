@@ -19,7 +19,7 @@ def library():
 
 def test_words_equal_whole_texts():
     rng = random.Random(3)
-    bits = ["Hello", " ", "\n", "  ", "don't", "Été", "é", " ́", "12a", "!?", "\t", "\x1c", "日本", "<|endoftext|>", "Σ", "ΑΣ ", "'s", " ", "x" * 40, " "]
+    bits = ["Hello", ",", ".", ", ", ". ", "é.", "x.,", "'s,", " ", "\n", "  ", "don't", "Été", "é", " ́", "12a", "!?", "\t", "\x1c", "日本", "<|endoftext|>", "Σ", "ΑΣ ", "'s", " ", "x" * 40, " "]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(600)] + ["", " ", "\n\n"]
     ids, bounds = P.Words(PATH).encode(texts)
     for i, known in enumerate(library().encode_batch(texts, add_special_tokens=False)):

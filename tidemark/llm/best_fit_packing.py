@@ -17,20 +17,22 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import IntegerType
 
 from tidemark.llm.shared import Scratch, steps
 
 CAPACITY, END = 4096, 1
 #: Distinct words a worker keeps; beyond it the cache starts anew.
-CACHED = 300_000
+CACHED = 600_000
 
 #: Equal ranges of positions by which runs are looked up.
 BUCKETS = 8192
@@ -38,44 +40,62 @@ BUCKETS = 8192
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class Words:
-    """Ids of the words between spaces and line feeds, which this kind of tokenizer treats one by one."""
+class Words(dict):
+    """Ids of the words between spaces and line feeds, which this kind of tokenizer treats one by one.
+
+    A word maps to its number; its ids are flat[offset[number]:offset[number + 1]]. Words new in a step get
+    their numbers at once and their ids in one batch. A word and the comma or stop after it are tokens
+    apart, so only the word is given to the library. Capital A-Z are lower-cased first, as it would itself.
+    """
 
     def __init__(self, path: str) -> None:
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.clear()
+        self.marks = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ",."}
+        self.trim()
 
-    def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat, self.offset = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.number) + len(words) > CACHED:
-            self.clear()
-        made = [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
-        self.flat = np.concatenate([self.flat, *[np.array(x, np.uint32) for x in made]])
-        self.offset = np.concatenate([self.offset, self.offset[-1] + np.cumsum([len(x) for x in made])])
+    def trim(self) -> None:
+        self.clear()
+        self.flat, self.offset, self.new = array("I"), array("q", [0]), []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = n = len(self)
+        return n
+
+    def _learn(self) -> None:
+        stems = [w[:-1] if w[-1:] in self.marks and w[:-1].isalpha() else w for w in self.new]
+        known = {}
+        for w in dict.fromkeys(stems):
+            if (n := self.get(w)) is not None and n + 1 < len(self.offset):
+                known[w] = self.flat[self.offset[n] : self.offset[n + 1]].tolist()
+        asked = [w for w in dict.fromkeys(stems) if w not in known]
+        known.update(zip(asked, (x.ids for x in self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)), strict=True))
+        for word, stem in zip(self.new, stems, strict=True):
+            self.flat.extend(known[stem])
+            if len(stem) < len(word):
+                self.flat.extend(self.marks[word[-1]])
+            self.offset.append(len(self.flat))
+        self.new = []
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text's ids begin and end."""
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        words = [w for part in parts for w in part]
-        seen = set(words)
-        new = [w for w in seen if w not in self.number]
-        if len(self.number) + len(new) > CACHED:
-            self.clear()
-            new = list(seen)
-        if new:
-            self.learn(new)
-        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        counts = self.offset[at + 1] - self.offset[at]
+        if len(self) > CACHED:
+            self.trim()
+        parts = [t.encode().lower().decode().replace("\n", " ").split(" ") for t in texts]
+        at = np.fromiter(map(self.__getitem__, (w for p in parts for w in p)), np.int64, sum(map(len, parts)))
+        if self.new:
+            self._learn()
+        flat = np.frombuffer(self.flat, np.uint32) if self.flat else np.zeros(0, np.uint32)
+        offset = np.frombuffer(self.offset, np.int64)
+        counts = offset[at + 1] - offset[at]
         before = np.concatenate(([0], np.cumsum(counts)))
-        ids = self.flat[np.repeat(self.offset[at] - before[:-1], counts) + np.arange(before[-1])]
+        ids = flat[np.repeat(offset[at] - before[:-1], counts) + np.arange(before[-1])]
+        del flat, offset  # views would keep the arrays from growing
         return ids, before[np.concatenate(([0], np.cumsum([len(p) for p in parts])))]
 
 
@@ -157,7 +177,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rest = Counter({int(r.length): int(r.n) for r in items.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()})  # at most capacity rows
     room: Counter = Counter()
     rows = items.select(F.lit(1).alias("kind"), F.col("length").alias("size"), F.col("item").alias("id"))
-    used, turn, pieces_of, gaps_of = 0, 0, [], []
+    used, turn, rounds, stored = 0, 0, f"{scratch.at}/rounds", None
     while rest:
         widest = max(room, default=0)
         stuck = sum(s * n for s, n in rest.items() if s > widest)
@@ -190,9 +210,11 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         numbered = ranked.withColumn("part", part).join(F.broadcast(bases), "part").withColumn("at", F.col("base") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
         numbered = numbered.withColumn("bucket", F.floor(F.col("at") / width).cast("long")).alias("r")
         found = numbered.join(plan.alias("p"), (F.col("r.bucket") == F.col("p.bucket")) & (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")), "left")
-        found = found.select("kind", "size", "id", "at", (F.col("gap_at") + F.col("at") - F.col("lo")).alias("gap_at"), "take", F.col("lo").isNotNull().alias("met"))
-        pieces_of.append(found.where("kind = 1 and met").select(F.lit(turn).alias("turn"), "gap_at", F.col("id").alias("item"), F.col("size").alias("length")))
-        gaps_of.append(found.where("kind = 0 and met").select(F.lit(turn).alias("turn"), F.col("at").alias("gap_at"), F.col("id").alias("bin")))
+        found = found.select("kind", "size", "id", F.when(F.col("kind") == 0, F.col("at")).otherwise(F.col("gap_at") + F.col("at") - F.col("lo")).alias("gap_at"), "take", F.col("lo").isNotNull().alias("met"))
+        found.write.parquet(f"{rounds}/turn={turn}")
+        scratch.drop(ranked)
+        stored = found.schema
+        found = spark.read.schema(stored).parquet(f"{rounds}/turn={turn}")
 
         room = offered
         for size, lo, hi, _, gap in runs:
@@ -206,7 +228,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         rows = found.where("(kind = 1 and not met) or kind = 0").select("kind", size.alias("size"), "id").where((F.col("kind") == 1) | (F.col("size") >= max(least, 1)))
     if not turn:
         return items.select("item", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).limit(0)
-    pieces_, gaps_ = reduce(DataFrame.unionByName, pieces_of), reduce(DataFrame.unionByName, gaps_of)
+    met = spark.read.schema(stored.add("turn", IntegerType())).parquet(rounds).where("met")
+    pieces_ = met.where("kind = 1").select("turn", "gap_at", F.col("id").alias("item"), F.col("size").alias("length"))
+    gaps_ = met.where("kind = 0").select("turn", "gap_at", F.col("id").alias("bin"))
     before = "sum(length) over (partition by bin order by turn, gap_at rows between unbounded preceding and 1 preceding)"
     placed = pieces_.join(gaps_, ["turn", "gap_at"])
     return placed.select("item", F.col("bin").alias("sequence_id"), F.coalesce(F.expr(before), F.lit(0)).cast("long").alias("offset"))
