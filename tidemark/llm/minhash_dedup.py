@@ -5,10 +5,11 @@ Two permutations make all signature coordinates: the first scatters the shingles
 shingles shifted k places around the ring. Texts with equal sets are one class. Classes that share a
 band are candidates; a link holds if the exact Jaccard similarity of the full sets reaches the threshold.
 
-A bucket of any size stays linear: in the first round each class is compared with the most central class
-of its buckets only, which joins groups of near copies to their centre. In the second round only classes
-that share a bucket and are still in different components are compared, so no link that would join two
-components is lost, and no group is expanded into all its pairs.
+No group is expanded into its pairs. In the first round each class is compared with the most central class
+of its buckets only, which joins groups of near copies to their centre. In the second round only buckets
+that still hold more than one component are looked at: a task gets the sets of a bucket, or of two blocks
+of a large one, counts all intersections as products of a 0/1 matrix, and returns at most one link for
+each component that joins another. So no link that joins components is lost.
 
 Defined cases: a null text is the empty text; texts without words have no set, link with nothing and
 stay; repeated rows are members of the same class; an empty table gives an empty result. Other columns
@@ -29,6 +30,8 @@ from tidemark.llm.shared import Scratch, small, steps
 from tidemark.llm.shingles import mixed, shingle_sets
 
 BANDS, ROWS = 24, 3
+#: Classes in a block of a large bucket, and shingles in a step of the matrix product.
+BLOCK, STEP = 512, 1024
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 
@@ -125,6 +128,46 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "one", "two").mapInArrow(run, "a long, b long, link boolean")
 
 
+def _joining(percent: int):
+    def links(table: pa.Table) -> pa.Table:
+        """Links that join the components of these classes, found by all their intersections."""
+        rep, n, component = (np.array(table.column(c).to_pylist(), np.int64) for c in ("rep", "n", "component"))
+        sets = [_unpacked(x) for x in table.column("packed").to_pylist()]
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        number = np.cumsum(count > 1) - 1
+        common = count[place] > 1
+        owner, place = owner[common], number[place[common]]
+        order = np.argsort(place, kind="stable")
+        owner, place = owner[order], place[order]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for low in range(0, int((count > 1).sum()), STEP):
+            i, j = np.searchsorted(place, [low, low + STEP])
+            has = np.zeros((len(sets), STEP), np.float32)
+            has[owner[i:j], place[i:j] - low] = 1
+            both += has @ has.T
+        held, shared = n.astype(np.float64), both.astype(np.float64)
+        near = 100 * shared >= percent * (held[:, None] + held[None, :] - shared)
+        x, y = np.nonzero(np.triu(near & (component[:, None] != component[None, :]), 1))
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = root.get(up, up)
+                c = up
+            return c
+
+        out: list[tuple[int, int, bool]] = []
+        for i, j in zip(x.tolist(), y.tolist(), strict=True):
+            one, two = find(int(component[i])), find(int(component[j]))
+            if one != two:
+                root[max(one, two)] = min(one, two)
+                out.append((int(rep[i]), int(rep[j]), True))
+        return pa.table({k: pa.array([r[i] for r in out], t) for i, (k, t) in enumerate((("a", pa.int64()), ("b", pa.int64()), ("link", pa.bool_())))})
+
+    return links
+
+
 def _near_sizes(a: str, b: str, percent: int):
     return (100 * F.least(a, b)) >= (percent * F.greatest(a, b))
 
@@ -153,13 +196,12 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, count: int = BANDS, rows
     labels = components(tried.where("link"), scratch)
 
     own = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    parted = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    open_ = scratch.save(own.join(parted, "key"), "open")
-    left, right = open_, open_.select("key", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("component").alias("apart"))
-    rest = left.join(right, "key").where((F.col("component") < F.col("apart")) & _near_sizes("n", "m", percent))
-    rest = rest.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-    before = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = scratch.save(linked(rest.join(before, ["a", "b"], "left_anti"), sets, percent), "more")
+    sizes = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
+    open_ = own.join(sizes, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int"))
+    meets = F.explode(F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, block) as one, greatest(x, block) as two))"))
+    placed = scratch.save(open_.select("key", "rep", "n", "component", meets.alias("meets")), "open")
+    full = placed.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("key", "meets.one", "meets.two", "rep", "n", "component", "packed")
+    more = scratch.save(full.groupBy("key", "one", "two").applyInArrow(_joining(percent), "a long, b long, link boolean"), "more")
     labels = components(tried.where("link").unionByName(more.where("link")), scratch)
 
     # Empty sets get a key of their own each, so that they do not meet in one task.
