@@ -3,7 +3,8 @@
 A vector's code is the signs of its components, cut into segments that index it. Queries probe each
 segment with all values within a radius that grows by one a round. A code at distance d has a segment
 within floor(d / segments), so after radius r every code at distance below segments * (r + 1) has been
-met: a query whose k-th verified distance lies below that is done, the others go on. A pair met by
+met: a query whose k-th verified distance lies below that is done, the others go on, and look no farther
+than the k-th distance they have. A pair met by
 several segments, or in an earlier round, counts once by the first segment that meets it.
 
 Rows with equal codes are one entry of the index, with their count and their k smallest ids: no top k
@@ -51,25 +52,29 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     index = entries.select("code", F.size("ids").alias("held"), F.posexplode(F.array(*[_segment(F.col("code"), i) for i in range(SEGMENTS)])).alias("segment", "value"))
     index = scratch.save(index, "index")
     asked = scratch.save(queries.where("code is not null").select(F.col("id").alias("query_id"), F.col("code").alias("query")), "queries")
-    open_ = scratch.save(asked.select("query").distinct(), "open")
+    open_ = scratch.save(asked.select("query", F.lit(BITS).alias("edge")).distinct(), "open")
     changes = spark.createDataFrame([(r, masks(r)) for r in range(WIDTH + 1)], "radius int, masks array<int>")  # 2**WIDTH numbers
     met = spark.createDataFrame([], "query long, code long, distance int, held int")
     least = F.least(*[F.bit_count(_segment(F.col("query").bitwiseXOR(F.col("code")), i)) for i in range(SEGMENTS)])
     for radius in range(WIDTH + 1):
-        probes = open_.select("query", F.posexplode(F.array(*[_segment(F.col("query"), i) for i in range(SEGMENTS)])).alias("segment", "own"))
+        probes = open_.select("query", "edge", F.posexplode(F.array(*[_segment(F.col("query"), i) for i in range(SEGMENTS)])).alias("segment", "own"))
         probes = probes.withColumn("radius", F.lit(radius)).join(F.broadcast(changes), "radius")
-        probes = probes.select("query", "segment", F.explode("masks").alias("mask"), "own").select("query", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
+        probes = probes.select("query", "edge", "segment", F.explode("masks").alias("mask"), "own").select("query", "edge", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
         found = probes.join(index, ["segment", "value"])
         apart = F.col("query").bitwiseXOR(F.col("code"))
         earlier = [(F.col("segment") > i) & (F.bit_count(_segment(apart, i)) <= radius) for i in range(SEGMENTS)]
-        once = (least >= radius) & ~(earlier[0] | earlier[1] | earlier[2] | earlier[3])
+        near = F.bit_count(apart) <= F.col("edge")  # no farther than the k-th met so far
+        once = near & (least >= radius) & ~(earlier[0] | earlier[1] | earlier[2] | earlier[3])
         found = found.where(once).select("query", "code", F.bit_count(apart).cast("int").alias("distance"), "held")
         # Codes with k nearer ones cannot count any more; the limit on the rank also holds before the shuffle.
         best = met.unionByName(found).selectExpr("*", "rank() over (partition by query order by distance) as place").where(F.col("place") <= k)
         met_now = scratch.save(best.drop("place"), "met")
         covered = SEGMENTS * (radius + 1)
-        done = met_now.where(F.col("distance") < covered).groupBy("query").agg(F.sum("held").alias("rows")).where(F.col("rows") >= k).select("query")
-        left = scratch.save(open_.join(done, "query", "left_anti"), "open")
+        state = met_now.groupBy("query").agg(
+            F.coalesce(F.sum(F.when(F.col("distance") < covered, F.col("held"))), F.lit(0)).alias("sure"), F.when(F.sum("held") >= k, F.max("distance")).alias("reach")
+        )
+        left = open_.select("query").join(state, "query", "left").where(F.coalesce("sure", F.lit(0)) < k)
+        left = scratch.save(left.select("query", F.coalesce("reach", F.lit(BITS)).cast("int").alias("edge")), "open")
         scratch.drop(met, open_)
         met, open_ = met_now, left
         if open_.isEmpty():
