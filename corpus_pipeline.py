@@ -6,6 +6,8 @@ Language ID and near-dedup learn from, and compare, every document they are give
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -16,9 +18,20 @@ from tidemark.llm.shared import Scratch, small
 LEAST_CERTAIN = 0.5
 
 
+def _unique(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """work(docs), where each row counts by itself: if any doc_id is null or repeated, rows have keys instead
+    while work runs, in the order of their doc_ids, null ids last."""
+    odd = docs.groupBy("doc_id").count().where("doc_id is null or count > 1")
+    if odd.isEmpty():
+        return work(docs)
+    rows = docs.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn("__own_id", F.col("doc_id"))
+    keyed = Scratch(docs.sparkSession, "keyed").save(rows.withColumn("doc_id", F.monotonically_increasing_id()))
+    return work(keyed).withColumn("doc_id", F.col("__own_id")).select(*docs.columns)
+
+
 def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of docs that a verdict table(doc_id, kept) keeps; rows that repeat a doc_id go down to one."""
-    keep = Scratch(docs.sparkSession, "kept").save(verdicts.where("kept and doc_id is not null").select("doc_id").distinct())
+    """The rows of docs, whose doc_ids are unique, that a verdict table(doc_id, kept) keeps."""
+    keep = Scratch(docs.sparkSession, "kept").save(verdicts.where("kept").select("doc_id"))
     return docs.join(small(keep), "doc_id", "left_semi").select(*docs.columns)
 
 
@@ -30,18 +43,21 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def stage_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept(docs, exact_dedup.exact_dedup(docs))
+    return _unique(docs, lambda rows: _kept(rows, exact_dedup.exact_dedup(rows)))
 
 
 def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest doc_id."""
-    return _kept(docs, minhash_dedup.near_dedup(docs))
+    return _unique(docs, lambda rows: _kept(rows, minhash_dedup.near_dedup(rows)))
 
 
 def stage_substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that a document with a smaller doc_id also holds are cut out."""
-    found = Scratch(spark, "passages").save(substring_dedup.passages(docs))
-    return substring_dedup.without_passages(docs, found)
+
+    def cut(rows: DataFrame) -> DataFrame:
+        return substring_dedup.without_passages(rows, Scratch(spark, "passages").save(substring_dedup.passages(rows)))
+
+    return _unique(docs, cut)
 
 
 def stage_pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

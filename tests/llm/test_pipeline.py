@@ -43,3 +43,19 @@ def test_odd_documents(spark):
     for _, stage in C.STAGES:
         empty = Scratch(spark, "t").save(stage(spark, empty, ""), "d")
     assert empty.count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    rng = random.Random(12)
+
+    def prose(n):
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+
+    clean, same, twice, one, two, passage = prose(80), prose(70), prose(60), prose(90), prose(50), prose(60)
+    held = [(None, clean), (4, same), (None, same + " "), (5, twice), (5, twice), (6, one), (6, two), (7, passage), (8, prose(60)), (8, prose(30) + " " + passage)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in held], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in C.STAGES[1:-1]:
+        docs = Scratch(spark, "t").save(stage(spark, docs, ""), name)
+    out = sorted((str(r.doc_id), r.text.strip()) for r in docs.collect())
+    want = [(None, clean), (None, same), (5, twice), (6, one), (6, two), (7, passage), (8, held[8][1]), (8, held[9][1][: -len(passage)])]
+    assert out == sorted((str(i), t.strip()) for i, t in want)
