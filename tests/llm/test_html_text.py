@@ -31,6 +31,17 @@ def test_broken_markup():
     assert H.Page("a < b and c > d").text(None) == "a < b and c > d"
 
 
+def test_parts_do_not_hide_the_article(spark):
+    long = "A part of the story, it is rather long and goes on. " * 12
+    parts = [f"<section><p>{long}</p></section><section><p>{long}</p></section>", f'<div class="part"><p>{long}</p></div><div class="note"><p>{long}</p></div>', f"<blockquote><p>{long}</p></blockquote><p>After it.</p>", f"<table><tr><td>{long}</td><td>{long}</td></tr></table>"]
+    shells = ("<article>%s</article>", '<div class="story">%s</div>', "<main>%s</main>")
+    rows = [(i * 4 + k, f"http://h{i}{k}.example/x", page(shell % f"<h1>Headline</h1><p>Lead.</p>{part}")) for i, shell in enumerate(shells) for k, part in enumerate(parts)]
+    out = {r.page_id: r.text for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(3):
+        for k, after in enumerate((2, 2, 1, 2)):
+            assert out[i * 4 + k] == "\n".join(["Headline", "Lead.", *[long.strip()] * after, *["After it."] * (k == 2)])
+
+
 def test_consensus_of_a_host(spark):
     """One page has more words beside the article than in it; its host knows better."""
     side = f'<div class="teasers"><p>{"Other stories, they go on and on, and on. " * 40}</p></div>'

@@ -3,6 +3,7 @@
 Every page scores its containers by the running text they hold; Spark adds the scores up per host and
 generalised path of tags and classes (without digits), and the host's best path wins. Pages are then
 extracted again from the containers on the winning path; a page without one uses its own best container.
+These are lifted to the article or main around them, or to containers that have text of their own beside them.
 
 Defined cases: null html is empty and gives an empty text; a null url is the host ''; a page without
 running text gives an empty text; ties between paths go to the smaller path; repeated rows are
@@ -53,6 +54,7 @@ class Node:
     out: bool  # part of something that is not the article
     parent: Node | None
     score: float = 0.0
+    direct: float = 0.0  # worth of the text that no container inside holds
     blocks: list[int] = field(default_factory=list)  # of the whole subtree, for containers
 
 
@@ -144,12 +146,13 @@ class Page:
         if not text or node.out:
             return
         worth = max(0.0, len(text) - 2.0 * links)
-        share, up = 1.0, node
+        share, up, first = 1.0, node, True
         while up is not None:
             if up.tag in CONTAINER or up.parent is None:
                 up.blocks.append(len(self.blocks))
                 up.score += worth * share * (1.25 if up.tag in ("article", "main") else 1.0)
-                share *= 0.6
+                up.direct += worth * first
+                share, first = share * 0.6, False
             up = up.parent
         self.blocks.append(text)
 
@@ -162,11 +165,26 @@ class Page:
                 held[n.path] = held.get(n.path, 0.0) + n.score / total
         return list(held.items())
 
+    @staticmethod
+    def _lifted(node: Node) -> Node:
+        """The article or main around a container, else the outermost container that has text of its own
+        beside it. The body, which frames the page, counts only if its own text outweighs the container's."""
+        best, up = node, node.parent
+        while up is not None:
+            if up.tag == "article":
+                return up
+            frame = up.tag == "body" or up.parent is None
+            if up.tag == "main" or up.tag in CONTAINER | {"html"} and up.direct > (best.score if frame else 0.0):
+                best = up
+            up = up.parent
+        return best
+
     def text(self, path: str | None) -> str:
         chosen = [n for n in self.nodes if n.path == path and n.blocks] if path is not None else []
         if not sum(n.score for n in chosen):
             best = max(self.nodes, key=lambda n: n.score)
             chosen = [best] if best.blocks else []
+        chosen = [self._lifted(n) for n in chosen]
         return "\n".join(self.blocks[i] for i in sorted({i for n in chosen for i in n.blocks}))
 
 
