@@ -42,6 +42,18 @@ def test_parts_do_not_hide_the_article(spark):
             assert out[i * 4 + k] == "\n".join(["Headline", "Lead.", *[long.strip()] * after, *["After it."] * (k == 2)])
 
 
+def test_left_out_end_tags():
+    want = "First words of it.\nLast words of it."
+    for odd in ('<svg viewBox="0 0 1 1"/>', "<svg><text>No</text></svg>", "<select><option>No", "<object data='x'>", "<iframe src='x'>", "<template>", "<noscript><p>No</p></noscript>"):
+        for head in ("<head><title>T</title>", "<head><meta charset=x></head>", "<head><noscript><img src=x></noscript>"):
+            for body in ("<body>", ""):
+                html = f"<html>{head}{body}<article><p>First words of it.</p>{odd}<p>Last words of it.</p></article>"
+                assert H.Page(html).text(None) == want, html
+    late = "<article><p>First words of it.</p><div><select><option>No</div><p>Last words of it.</p></article><select></select>"
+    assert H.Page(late).text(None) == want
+    assert H.Page("<head><title>T</title>Just words").text(None) == "Just words"
+
+
 def test_consensus_of_a_host(spark):
     """One page has more words beside the article than in it; its host knows better."""
     side = f'<div class="teasers"><p>{"Other stories, they go on and on, and on. " * 40}</p></div>'

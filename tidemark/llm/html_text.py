@@ -24,7 +24,11 @@ from tidemark.llm.shared import Scratch, small
 
 # Element names of HTML, and common class and id words of what is not an article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style noscript template textarea title svg iframe object select"
+#: These run to their end tag or the end of the page; of SKIPPED, which close with what holds them, nothing is read.
+RAW = "script style textarea title"
+SKIPPED = frozenset("noscript template svg iframe object select".split())
+#: Elements that do not end an open head.
+IN_HEAD = frozenset("base head html link meta noscript template".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -59,7 +63,7 @@ class Node:
 
 
 def _left_out(tag: str, attrs: str, parent: Node) -> bool:
-    if parent.out or tag in NEVER:
+    if parent.out or tag in NEVER or tag in SKIPPED:
         return True
     if tag == "header" and not re.search(r">(article|main)\b", ">" + parent.path):
         return True
@@ -89,8 +93,11 @@ class Page:
         node = root = Node("html", "", False, None)
         self.nodes.append(root)
         at = anchor = 0
+        ends: dict[str, int] = {}  # last end tag of each skipped element
         for m in _TOKEN.finditer(html):
             if m.start() > at:
+                if node.tag == "head" and not html[at : m.start()].isspace():
+                    node = node.parent
                 self._take(html[at : m.start()], node, anchor)
             at = m.end()
             if not (tag := m["tag"]):
@@ -109,8 +116,23 @@ class Page:
                 if up is not None and up.parent is not None:
                     node = up.parent
                 continue
+            if node.tag == "head" and tag not in IN_HEAD or tag == "body":
+                up = node
+                while up is not None and up.tag != "head":
+                    up = up.parent
+                node = up.parent if up is not None else node
             if tag in VOID or tag == "html":
                 continue
+            if tag in SKIPPED and tag != "select":  # a select ends where a block begins
+                if tag not in ends:
+                    ends[tag] = max((e.start() for e in re.finditer(rf"</{tag}\b", html, re.I)), default=-1)
+                if ends[tag] < at:  # never closed
+                    continue
+            elif tag in BLOCK and tag != "hr" and node.tag in ("select", "option", "optgroup"):
+                up = node
+                while up is not None and up.tag != "select":
+                    up = up.parent
+                node = up.parent if up is not None else node
             if tag == "a":
                 anchor += 1
             if tag in ENDS_P:
@@ -129,6 +151,8 @@ class Page:
                 if tag in CONTAINER and not out:
                     self.nodes.append(child)
         if at < len(html):
+            if node.tag == "head" and not html[at:].isspace():
+                node = node.parent
             self._take(html[at:], node, anchor)
         self._close(node)
 
