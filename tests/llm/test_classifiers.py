@@ -1,4 +1,8 @@
+import math
 import random
+import unicodedata
+import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -37,6 +41,53 @@ def test_grams_stay_within_a_text():
     assert list(pairs[2] - pairs[1]) == [1, 0, 0]
 
 
+def scalar_grams(text, bits):
+    """Buckets of all n-grams of one text, a code point at a time."""
+    codes, odd, low = [ord(c) for c in text.lower()], [int(x) for x in L._ODD], (1 << 32) - 1
+    out = []
+    for start in range(len(codes)):
+        h = codes[start] * odd[0] & low
+        for order in range(L.ORDERS):
+            if start + order >= len(codes):
+                break
+            if order:
+                h = ((h ^ h >> 15) * odd[order] + codes[start + order]) & low
+            out.append((h * odd[2 - order] & low) >> 32 - bits)
+    return out
+
+
+def test_naive_bayes_by_brute_force(spark):
+    rng = random.Random(14)
+    sets = {"a": "abcde fgh", "b": "bcdxy zuv", "c": "éèab ñ日"}
+    rows = [(i, "".join(rng.choice(sets[x]) for _ in range(rng.randrange(1, 40))), x) for i, x in enumerate(rng.choices("abc", [6, 2, 1], k=120))] + [(500, "½²Ⅷ①", "a"), (501, "7", None), (502, "ª", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2 and r[2]]
+    counts = {x: Counter({g: 0.5 for g in range(1 << L.BITS)}) for x in "abc"}
+    for _, text, lang in train:
+        counts[lang].update(scalar_grams(text, L.BITS))
+    total = {x: sum(c.values()) for x, c in counts.items()}
+    prior = {x: math.log(sum(r[2] == x for r in train) / len(train)) for x in "abc"}
+    out = {r.doc_id: r for r in L.language_id(docs).collect()}
+    for i, text, _ in rows:
+        if not any(unicodedata.category(c)[0] == "L" for c in text):
+            assert (out[i].lang_pred, out[i].score) == ("und", 0)
+            continue
+        logs = {x: prior[x] + sum(math.log(counts[x][g] / total[x]) for g in scalar_grams(text, L.BITS)) for x in "abc"}
+        best = max(logs, key=logs.get)
+        assert out[i].lang_pred == best
+        assert math.isclose(out[i].score, 1 / sum(math.exp(v - logs[best]) for v in logs.values()), rel_tol=1e-6)
+
+
+def test_every_language_is_learned(spark):
+    """300 languages, one of which has nearly all rows, most of them copies of one text."""
+    names = [f"l{i:03}" for i in range(300)]
+    rows = [(i, f"{chr(0x4E00 + i % 300)}{chr(0x5E00 + i % 300)} " * 3, names[i % 300]) for i in range(1200)] + [(5000 + i, "same text", "big") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, matrix, _ = L.fit(docs, most_rows=50)
+    assert langs == ["big", *names] and matrix.size <= L.MATRIX
+    assert {r.lang_pred for r in L.language_id(docs, most_rows=50).collect()} == set(langs)
+
+
 def test_toxicity_of_held_out_documents(spark):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     out = registry.op9_toxicity(spark, SF).collect()
@@ -57,6 +108,49 @@ def test_toxicity_edges(spark):
     assert T.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_scores_by_brute_force(spark):
+    """Weights, rate and scores from their definitions, with every maximal segment found by trial."""
+    rng = random.Random(15)
+    vile, plain = ["vile", "scum", "trash", "scummy"], [f"word{c}{d}" for c in "abcdefg" for d in "hijkl"]
+    texts = {i: " ".join(rng.choice(vile if i % 4 == 0 and rng.random() < 0.3 else plain) for _ in range(rng.randrange(5, 25))) for i in range(160)}
+    docs = spark.createDataFrame([*texts.items(), (900, None)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in texts], "doc_id long, toxic int")
+    model = T.fit(docs, labels)
+    held = {0: Counter(), 1: Counter()}
+    for i, text in texts.items():
+        held[i % 4 == 0].update(set(T._features(set(text.split()))))
+    n = {k: sum(len(set(t.split())) for i, t in texts.items() if (i % 4 == 0) == k) for k in (0, 1)}
+    weights = {}
+    for token in held[1]:
+        alpha = 0.5 + T.PRIOR * (held[0][token] + held[1][token]) / (n[0] + n[1])
+        yes, no = held[1][token] + alpha, held[0][token] + alpha
+        w = round(math.log(yes / (n[1] + T.PRIOR - yes)) - math.log(no / (n[0] + T.PRIOR - no)) - T.DEVIATIONS * math.sqrt(1 / yes + 1 / no), 3)
+        if w > 0:
+            weights[token] = w
+    assert model.weights.keys() == weights.keys() and all(abs(model.weights[k] - w) < 0.0011 for k, w in weights.items())
+
+    def gains(text):
+        return [max([0.0] + [model.weights.get(t, 0.0) for t in T._features({w})]) or -T.DRIFT for w in text.split()]
+
+    others = [g for i, t in texts.items() if i % 4 for g in gains(t)]
+    assert abs(sum(math.exp(model.rate * g) for g in others) / len(others) - 1) < 1e-6 or model.rate == 64
+    for r in T.score(docs, model).collect():
+        own = gains(texts.get(r.doc_id, ""))
+        peaks = sorted((s for *_, s in maximal(own)), reverse=True)
+        base = math.log1p(T.K * len(own))
+        x = model.rate * peaks[0] - base + sum(max(0.0, model.rate * s - base) for s in peaks[1:]) if peaks else T.LEAST
+        z = model.intercept + model.slope * min(max(x, T.LEAST), T.MOST)
+        assert abs(r.score - 1 / (1 + math.exp(-min(max(z, -30), 30)))) < 1e-6
+
+
+def test_long_text_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(i, "plain calm words " * 9 + "vile scum " * (i % 3 == 0)) for i in range(120)] + [(500, "plain calm words " * 200_000 + "vile scum vile scum"), (501, "vile scum"), (501, "calm")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)] * 2, "doc_id long, toxic int")
+    out = T.toxicity(docs, labels).collect()
+    assert len(out) == 123 and sorted(r.predicted for r in out if r.doc_id == 501) == [0, 1]
+    assert [r.passages[-1].word_to for r in out if r.doc_id == 500] == [600_004]
+
+
 def best_segment(scores):
     return max((sum(scores[i:j]), i, j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1))
 

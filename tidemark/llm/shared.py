@@ -20,6 +20,10 @@ BROADCAST_ROWS = 1_000_000
 STEP_CHARS = 4_000_000
 
 
+#: Folders that Scratch has made.
+_MADE: list[str] = []
+
+
 class Scratch:
     """Written tables in the folder that the cluster shares (spark.checkpoint.dir).
 
@@ -29,9 +33,12 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str) -> None:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
-            base = tempfile.mkdtemp(prefix="tidemark-")
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            base = tempfile.mkdtemp(prefix="tidemark-")  # one machine, as in tests
             spark.conf.set("spark.checkpoint.dir", base)
         self.spark, self.at, self.n = spark, f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}", 0
+        _MADE.append(self.at)
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.n += 1
@@ -43,11 +50,20 @@ class Scratch:
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete saved tables that no later step reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for df in frames:
             if path := getattr(df, "_scratch_path", None):
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
+                _delete(self.spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables of this process; call it once no result that reads them is needed any more."""
+    while _MADE:
+        _delete(spark, _MADE.pop())
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -2,15 +2,17 @@
 
 A bounded sample of labelled rows gives each token (a word, or a word's beginning) its log-odds between
 toxic and other documents under an informative Dirichlet prior; what counts is the lower end of its
-credible interval, so that rare tokens weigh little. Tokens without evidence cost DRIFT each. The linear
+credible interval, so that rare tokens weigh little and most have no evidence. Those cost DRIFT each. The linear
 scan of Ruzzo and Tompa finds every maximal segment of a text; the extreme-value law of Karlin and
 Altschul, with its rate solved from the token scores of other documents, turns a segment's score and the
 text's length into evidence. A logistic fit on the sample maps a text's evidence to a score.
 
 Learned from: text and the toxic label of rows outside the held-out fold. Defined cases: a null text is
 the empty text and scores by its zero evidence; without labels of both kinds every score is the share of
-toxic labels (0 without labels); labels and documents that repeat count each; an empty table gives an
-empty result. Long texts are scanned whole. Other columns are not read.
+toxic labels (0 without labels); labels and documents that repeat count each, null ids of labels
+and labels other than 0 and 1 are left out; an empty table gives an empty result. Long texts are scanned whole.
+Other columns are not read. The sample of `most_rows` labelled documents is the only bound: all its tokens
+with evidence make the model.
 """
 
 from __future__ import annotations
@@ -59,14 +61,20 @@ def _features(words: set[str]) -> Iterator[str]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of each kind that have a token, and under the token '' their words."""
     held: tuple[Counter, Counter] = (Counter(), Counter())
+
+    def counts() -> Iterator[pa.RecordBatch]:
+        for toxic, own in enumerate(held):
+            yield pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.string()), pa.array([toxic] * len(own), pa.int32()), pa.array(own.values(), pa.int64())], ["token", "toxic", "n"])
+            own.clear()
+
     for batch in steps(batches):
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             words = set(_WORD.findall((text or "").lower()))
             held[toxic].update(_features(words))
             held[toxic][""] += len(words)
-    for toxic in (0, 1):
-        own = held[toxic]
-        yield pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.string()), pa.array([toxic] * len(own), pa.int32()), pa.array(own.values(), pa.int64())], ["token", "toxic", "n"])
+        if len(held[0]) + len(held[1]) > CACHED:
+            yield from counts()
+    yield from counts()
 
 
 def segments(at: np.ndarray, gain: np.ndarray, drift: float = DRIFT) -> list[tuple[int, int, float]]:
@@ -156,7 +164,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(b[0]), float(b[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_tokens: int = 50_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> Model:
     """A model from at most about most_rows labelled documents; labels(doc_id, toxic) are those to learn from."""
     spark = docs.sparkSession
     labels = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
@@ -164,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_tokens
     sample = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     train = docs.join(F.broadcast(sample), "doc_id").select("text", "toxic")  # bounded by most_rows
     counts = train.mapInArrow(_count, "token string, toxic int, n long").groupBy("token").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n"))).alias("yes"), F.sum(F.when(F.col("toxic") == 0, F.col("n"))).alias("no")).na.fill(0)
-    counts = Scratch(spark, "toxic").save(counts.where("yes >= 3 or token = ''"))
+    counts = Scratch(spark, "toxic").save(counts.where("yes > 0 or token = ''"))
     totals = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not totals.get(0) or not totals.get(1):
         share = totals.get(1, 0) / max(sum(totals.values()), 1)
@@ -174,31 +182,31 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_tokens
     yes, no = F.col("yes") + F.col("alpha"), F.col("no") + F.col("alpha")
     odds = F.log(yes / (n_yes + PRIOR - yes)) - F.log(no / (n_no + PRIOR - no))
     prior = F.lit(0.5) + PRIOR * (F.col("yes") + F.col("no")) / max(n_yes + n_no, 1.0)
-    weighed = counts.where("token <> ''").withColumn("alpha", prior).select("token", (odds - DEVIATIONS * F.sqrt(1 / yes + 1 / no)).alias("weight"))
-    top = weighed.where("weight > 0").orderBy(F.desc("weight"), "token").limit(most_tokens).toPandas()
-    weights = dict(zip(top.token, top.weight.round(3), strict=True))
+    weighed = counts.where("token <> ''").withColumn("alpha", prior).select("token", F.round(odds - DEVIATIONS * F.sqrt(1 / yes + 1 / no), 3).alias("weight"))
+    found = weighed.where("weight > 0").toPandas()  # several toxic documents of the sample have each
+    weights = dict(zip(found.token, found.weight, strict=True))
     shared = spark.sparkContext.broadcast(weights)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        """How often other documents have each score; under 0 the words without one."""
+        scorer, held = Scorer(shared.value), Counter()
         for batch in steps(batches):
-            n, peaks, scores, toxic = [], [], [], batch.column("toxic").to_pylist()
             for text in batch.column("text").to_pylist():
-                words, found = scorer.scan(text or "")
-                n.append(words)
-                peaks.append([s for _, _, s in found])
-                scores.append([s for w in _WORD.findall((text or "").lower()) if (s := scorer[w]) > 0])
-            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(n, pa.int64()), pa.array(peaks, pa.list_(pa.float64())), pa.array(scores, pa.list_(pa.float64()))], ["toxic", "n", "peaks", "scores"])
-
-    rows = train.mapInArrow(seen, "toxic int, n long, peaks array<double>, scores array<double>").collect()  # bounded by most_rows
-    null, neutral = Counter(), 0
-    for r in rows:
-        if not r.toxic:
-            null.update(r.scores)
-            neutral += r.n - len(r.scores)
-    rate = _rate(null, neutral)
-    x = np.array([evidence(r.n, [(0, 0, s) for s in r.peaks], rate) for r in rows])
-    intercept, slope = _logistic(x, np.array([r.toxic for r in rows], float))
+                held.update(map(scorer.__getitem__, _WORD.findall((text or "").lower())))
+        yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.float64()), pa.array(held.values(), pa.int64())], ["score", "n"])
+
+    histogram = train.where("toxic = 0").select("text").mapInArrow(seen, "score double, n long").groupBy("score").agg(F.sum("n").alias("n"))
+    null = Counter({r.score: r.n for r in histogram.collect()})  # scores have three decimals
+    rate = _rate(null, null.pop(0.0, 0))
+
+    def weighed_evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in steps(batches):
+            found = [evidence(*scorer.scan(text or ""), rate) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.float64())], ["toxic", "x"])
+
+    rows = train.mapInArrow(weighed_evidence, "toxic int, x double").toPandas()  # two numbers for each document of the sample
+    intercept, slope = _logistic(rows.x.to_numpy(), rows.toxic.to_numpy(float))
     return Model(weights, rate, intercept, max(slope, 0.0))
 
 
