@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding of whole texts.
 
-Boundaries come from pretokens (class arrays and a transition-function scan). Each distinct slice is
-merged once per worker and kept in a cache of bounded size; the ids of a step are gathered from the
-cache at once, and the byte offset of every id is retained, so any range of ids maps back to bytes.
+Boundaries come from pretokens (class arrays and a transition-function scan). The distinct slices of a step
+are found in Arrow; each is merged once per worker and kept in a cache of bounded size. The ids of a step are
+gathered from the cache at once, and the byte offset of every id is retained, so any range of ids maps back to
+bytes.
 
 Defined cases: a null text is the empty text, with no ids; special tokens are ordinary text; a slice of
 any length merges in n log n steps; repeated rows are encoded each; an empty table gives an empty
@@ -17,6 +18,7 @@ import heapq
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,9 @@ from tidemark.llm.pretokens import Cuts
 from tidemark.llm.shared import steps
 
 #: Distinct slices a worker keeps; beyond it the cache starts anew.
-CACHED = 300_000
+CACHED = 600_000
+#: Bytes up to which a slice is merged by plain scans, which are quadratic but quick; longer ones use a heap.
+SHORT = 48
 
 
 @lru_cache(2)
@@ -48,6 +52,24 @@ def merge(piece: bytes, by_rank: dict[bytes, int]) -> list[int]:
     """Merge the pair of lowest rank, the leftmost of equals, until no pair has a rank."""
     if (whole := by_rank.get(piece)) is not None:
         return [whole]
+    return _merge_short(piece, by_rank) if len(piece) <= SHORT else _merge_long(piece, by_rank)
+
+
+def _merge_short(piece: bytes, by_rank: dict[bytes, int]) -> list[int]:
+    get, none = by_rank.get, len(by_rank)
+    edges = list(range(len(piece) + 1))
+    pairs = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]  # rank of the parts i and i + 1
+    while pairs and (rank := min(pairs)) < none:
+        i = pairs.index(rank)
+        del edges[i + 1], pairs[i]
+        if i < len(pairs):
+            pairs[i] = get(piece[edges[i] : edges[i + 2]], none)
+        if i:
+            pairs[i - 1] = get(piece[edges[i - 1] : edges[i + 1]], none)
+    return [by_rank[piece[a:b]] for a, b in pairwise(edges)]
+
+
+def _merge_long(piece: bytes, by_rank: dict[bytes, int]) -> list[int]:
     n = len(piece)
     end = list(range(1, n + 1))  # end of the part that begins here; 0 once it is merged into another
     before = list(range(-1, n - 1))
@@ -103,7 +125,9 @@ class Encoded:
         self.path, merged = path, cache(path)
         merged.trim()
         self.cuts = Cuts(texts)
-        number = np.fromiter(map(merged.__getitem__, self.cuts.pieces()), np.int64, len(self.cuts.start))
+        slices, own = self.cuts.slices()
+        distinct = np.fromiter(map(merged.__getitem__, slices.dictionary.to_pylist()), np.int64, len(slices.dictionary))
+        number = distinct[slices.indices.to_numpy(zero_copy_only=False)[own]]
         flat, offset = np.frombuffer(merged.flat, np.uint32) if merged.flat else np.zeros(0, np.uint32), np.frombuffer(merged.offset, np.int64)
         self.counts = offset[number + 1] - offset[number]
         before = np.concatenate(([0], np.cumsum(self.counts)))

@@ -12,6 +12,7 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 # Symbols. PREFIX: a space that joins what follows. LONE: another white space before something. SPACE:
 # any other white space. SHORT and LONG: an apostrophe before one or two letters of a contraction.
@@ -109,21 +110,20 @@ class Cuts:
         codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
         marks = symbols(codes, ends[:-1])
-        at = np.flatnonzero(starts(marks))
-        stop = np.append(at[1:], len(codes))
-        real = marks[at] != GAP
-        at, stop = at[real], stop[real]
+        self._at = np.flatnonzero(starts(marks))
+        self._real = marks[self._at] != GAP
         self.buffer = joined.encode()
-        self.chars = at
+        self.chars = self._at[self._real]
         if len(self.buffer) != len(codes):
             wide = np.concatenate(([0], np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000))))
-            at, stop = wide[at], wide[stop]
-        self.start, self.stop = at, stop
+            self._at = wide[self._at]
         #: the pre-tokens of text i are those from first[i] up to first[i + 1]
         self.first = np.searchsorted(self.chars, np.concatenate(([0], ends[:-1] + 1, [len(codes) + 1])))
         #: where text i begins among all code points
         self.begins = np.concatenate(([0], ends[:-1] + 1))
 
-    def pieces(self):
-        buffer = self.buffer
-        return (buffer[a:b] for a, b in zip(self.start.tolist(), self.stop.tolist(), strict=True))
+    def slices(self) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The bytes of all pre-tokens and of the line feeds between texts, and which are pre-tokens."""
+        edges = pa.py_buffer(np.append(self._at, len(self.buffer)).astype(np.int64))
+        whole = pa.Array.from_buffers(pa.large_binary(), len(self._at), [None, edges, pa.py_buffer(self.buffer)])
+        return whole.dictionary_encode(), self._real

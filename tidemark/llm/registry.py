@@ -46,8 +46,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir)
-    return token_counts.token_counts(docs.withColumn("edits", token_counts.derived_edits()), BYTE_BPE).drop("edited_text")
+    return token_counts.token_counts(_documents(spark, sf_dir), BYTE_BPE, token_counts.derived_edits())
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

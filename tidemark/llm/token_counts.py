@@ -1,14 +1,17 @@
 """Edit-aware token counts.
 
-Each document keeps two segment trees over its pre-tokens, one of code points and one of token counts.
-An edit finds the leaves it touches by descending the tree of lengths, takes a few code points of left
-context (no pre-token that ends further left can see the edit), and re-encodes to the right until a new
-boundary meets an old one: the splitting pattern never looks behind a boundary, so all later pre-tokens
-stand. The touched leaves take over the new pre-tokens and the sums above them are updated.
+Each document keeps a segment tree over its pre-tokens: leaves are groups of up to LEAF pre-tokens with their
+code points and tokens, in blocks whose sums a segment tree holds. `trees` makes these once, as a table of
+documents with their leaves; `edited` takes such a table and a list of edits for each document and returns it as
+the edits leave it, without encoding a text anew. An edit finds the leaves it touches by descending the tree of
+code points, takes a few code points of left context (no pre-token that ends further left can see the edit), and
+re-encodes to the right until a new boundary meets the end of an old leaf: the splitting pattern never looks
+behind a boundary, so all later pre-tokens stand. The new pre-tokens become leaves in place of those touched, and
+the sums above them are updated.
 
 Edits of a document come as an array in the order they apply: {pos, cut, put}, in code points of the
 text as the edits before have left it. Defined cases: a null text is the empty text; a null edit list is
-no edit; pos and cut are clipped to the text, nulls are 0; a null put is empty; repeated rows are
+no edit; pos and cut are clipped to the text, nulls are 0; a null put is empty; null and repeated doc_ids are
 counted each; an empty table gives an empty result. Long texts are counted whole.
 """
 
@@ -20,39 +23,40 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.byte_bpe import Encoded, cache
-from tidemark.llm.shared import steps
+from tidemark.llm.byte_bpe import Encoded
+from tidemark.llm.shared import Scratch, steps
 
 #: Code points beyond its end that can change a pre-token: the letters of a contraction.
 SEEN = 3
+#: Pre-tokens of a leaf at most, and leaves of a block.
+LEAF, BLOCK = 16, 256
 EDITS = "array<struct<pos: bigint, cut: bigint, put: string>>"
+TREE = "doc_id long, text string, n_tokens long, n_pretokens long, chars array<int>, tokens array<int>, pretokens array<int>"
 
 
 class Sums:
     """A segment tree of sums; leaf i is node size + i."""
 
-    def __init__(self, leaves: np.ndarray) -> None:
-        self.size = 1 << max(0, int(len(leaves) - 1).bit_length())
-        level = np.zeros(self.size, np.int64)
-        level[: len(leaves)] = leaves
+    def __init__(self, leaves: list[int]) -> None:
+        self.size = 1 << max(0, (len(leaves) - 1).bit_length())
+        level = leaves + [0] * (self.size - len(leaves))
         levels = [level]
         while len(level) > 1:
-            level = level[::2] + level[1::2]
+            level = [a + b for a, b in zip(level[::2], level[1::2], strict=True)]
             levels.append(level)
-        self.node = np.concatenate([np.zeros(1, np.int64), *levels[::-1]]).tolist()
+        self.node = [0, *(x for level in levels[::-1] for x in level)]
 
     def total(self) -> int:
         return self.node[1]
 
-    def put(self, leaf: int, value: int) -> None:
+    def add(self, leaf: int, change: int) -> None:
         i = self.size + leaf
-        change = value - self.node[i]
         while i and change:
             self.node[i] += change
             i >>= 1
 
     def find(self, at: int) -> tuple[int, int]:
-        """The leaf that holds unit `at`, and the sum before that leaf; the last leaf for `at` = total."""
+        """The leaf that holds unit `at`, and the sum before that leaf; the last leaf that is not empty for `at` = total."""
         i, before = 1, 0
         at = min(at, self.total() - 1)
         while i < self.size:
@@ -63,13 +67,30 @@ class Sums:
         return i - self.size, before
 
 
-class Counted:
-    """A text, its pre-tokens' lengths and token counts, and what editing it has re-encoded."""
+class Tree:
+    """A text, the leaves over its pre-tokens, and how many pre-tokens editing it has encoded."""
 
-    def __init__(self, text: str, lengths: np.ndarray, counts: np.ndarray, path: str) -> None:
+    def __init__(self, text: str, chars: list[int], tokens: list[int], pretokens: list[int], path: str) -> None:
         self.text, self.path, self.encoded = text, path, 0
-        self.lengths, self.tokens = Sums(lengths), Sums(counts)
-        self.leaves = max(len(lengths), 1)
+        leaves = list(zip(chars, tokens, pretokens, strict=True))
+        self.blocks = [leaves[i : i + BLOCK] for i in range(0, len(leaves), BLOCK)] or [[]]
+        self._index()
+
+    def _index(self) -> None:
+        self.chars, self.tokens, self.pretokens = (Sums([sum(x[k] for x in b) for b in self.blocks]) for k in range(3))
+
+    def leaves(self) -> list[tuple[int, int, int]]:
+        return [x for b in self.blocks for x in b]
+
+    def _find(self, at: int) -> tuple[int, int, int]:
+        """Block and place of the leaf that holds code point `at`, and where the leaf begins."""
+        block, before = self.chars.find(at)
+        own = self.blocks[block]
+        for i, leaf in enumerate(own):
+            if before + leaf[0] > at or i == len(own) - 1:
+                return block, i, before
+            before += leaf[0]
+        return block, 0, before
 
     def begin(self, pos: int, cut: int, put: str) -> bool:
         """Apply an edit to the text; true if it changes anything."""
@@ -79,41 +100,63 @@ class Counted:
         if not cut and not put:
             return False
         self.text = self.text[:pos] + put + self.text[pos + cut :]
-        self.grown, self.done, self.was = len(put) - cut, pos + len(put), size
-        self.first, self.at = self.lengths.find(max(pos - SEEN, 0)) if size else (0, 0)
-        last, at = self.lengths.find(pos + cut) if size else (0, 0)
-        self.ahead = at + self.lengths.node[self.lengths.size + last]
-        self.reach = 16
+        self.grown, self.was = len(put) - cut, size
+        self.first = self._find(max(pos - SEEN, 0))
+        self.last = self._find(min(pos + cut, max(size - 1, 0)))
+        self._ahead()
         return True
 
+    def _ahead(self) -> None:
+        block, i, at = self.last
+        self.stop = at + (self.blocks[block][i][0] if self.blocks[block] else 0)  # end of the last leaf touched, in the old text
+
     def window(self) -> str:
-        """From the first touched pre-token on, with more of what follows on every call."""
-        self.ahead, self.reach = min(self.ahead + self.reach, self.was), self.reach * 4
-        return self.text[self.at : self.ahead + self.grown]
-
-    def settle(self, chars: np.ndarray, counts: np.ndarray) -> bool:
-        """Take over the pre-tokens of the window up to an old boundary; false if it shows none."""
-        sure = self.ahead + self.grown - SEEN
-        for k, start in enumerate((self.at + chars).tolist()):
-            if self.done <= start < sure:
-                leaf, from_ = self.lengths.find(start - self.grown)
-                if from_ == start - self.grown and leaf > self.first:
-                    self._put(leaf, start - self.at, counts[:k])
-                    return True
-        if self.ahead < self.was:
-            return False
-        self._put(self.leaves, len(self.text) - self.at, counts)
-        return True
+        """The touched leaves' new text, with what a pre-token beyond it may show."""
+        return self.text[self.first[2] : self.stop + self.grown + SEEN]
 
-    def _put(self, stop: int, length: int, counts: np.ndarray) -> None:
-        """The first touched leaf now stands for all new pre-tokens, the leaves after it up to stop for none."""
+    def settle(self, starts: np.ndarray, counts: np.ndarray) -> bool:
+        """Take over the window's pre-tokens if one begins where the last touched leaf ended; else touch the next leaf."""
         self.encoded += len(counts)
-        for leaf in range(self.first, stop):
-            self.lengths.put(leaf, length if leaf == self.first else 0)
-            self.tokens.put(leaf, int(counts.sum()) if leaf == self.first else 0)
-
+        end = self.stop + self.grown - self.first[2]
+        if self.stop < self.was:
+            k = int(np.searchsorted(starts, end))
+            if k == len(starts) or starts[k] != end:
+                block, i, _ = self.last
+                for _ in range(self.touched()):  # as many leaves again, so that a long pre-token costs no square
+                    block, i = (block, i + 1) if i + 1 < len(self.blocks[block]) else (block + 1, 0)
+                    self.last = block, i, self.stop
+                    self._ahead()
+                    if self.stop >= self.was:
+                        break
+                return False
+            starts, counts = starts[:k], counts[:k]
+        groups = -(-len(starts) // LEAF)
+        edge = np.linspace(0, len(starts), groups + 1).astype(int)
+        at = np.append(starts, end)
+        before = np.concatenate(([0], np.cumsum(counts)))
+        self._put([(int(at[j] - at[i]), int(before[j] - before[i]), int(j - i)) for i, j in zip(edge[:-1], edge[1:], strict=True)])
+        return True
 
-def apply(trees: list[Counted], edits: list[list[dict]]) -> None:
+    def touched(self) -> int:
+        (block, i, _), (last, j, _) = self.first, self.last
+        return j - i + 1 + sum(len(self.blocks[b]) for b in range(block, last))
+
+    def _put(self, new: list[tuple[int, int, int]]) -> None:
+        """The new leaves stand for the touched ones."""
+        (block, i, _), (last, j, _) = self.first, self.last
+        own = self.blocks[block][:i] + new + self.blocks[last][j + 1 :]
+        if block == last and 0 < len(own) <= 2 * BLOCK:
+            gone = self.blocks[block][i : j + 1]
+            self.blocks[block] = own
+            for k, sums in enumerate((self.chars, self.tokens, self.pretokens)):
+                sums.add(block, sum(x[k] for x in new) - sum(x[k] for x in gone))
+        else:
+            self.blocks[block : last + 1] = [own[k : k + BLOCK] for k in range(0, len(own), BLOCK)]
+            self.blocks = self.blocks or [[]]
+            self._index()
+
+
+def apply(trees: list[Tree], edits: list[list[dict]]) -> None:
     """The first edit of every tree, then the second, and so on; the windows of a turn are encoded at once."""
     for turn in range(max(map(len, edits), default=0)):
         open_ = []
@@ -130,30 +173,71 @@ def apply(trees: list[Counted], edits: list[list[dict]]) -> None:
             open_ = left
 
 
-def counted(texts: list[str], path: str) -> Iterator[Counted]:
+def _lists(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(values.astype(np.int32)))
+
+
+def leaves_of(texts: list[str], path: str) -> tuple[np.ndarray, ...]:
+    """Code points, tokens and pre-tokens of the leaves of all texts; where each text's leaves, pre-tokens and tokens end."""
     found = Encoded(texts, path)
-    for i, text in enumerate(texts):
-        own = slice(found.cuts.first[i], found.cuts.first[i + 1])
-        chars = found.cuts.chars[own]
-        yield Counted(text, np.diff(np.append(chars, (chars[0] if len(chars) else 0) + len(text))), found.counts[own], path)
+    first = found.cuts.first.astype(np.int64)
+    sizes = np.diff(first)
+    per = -(-sizes // LEAF)
+    leaf = np.concatenate(([0], np.cumsum(per)))
+    place = np.arange(leaf[-1]) - np.repeat(leaf[:-1], per)
+    start = np.repeat(first[:-1], per) + place * LEAF
+    stop = np.minimum(start + LEAF, np.repeat(first[1:], per))
+    chars = np.append(found.cuts.chars, 0)
+    ends = np.repeat(found.cuts.begins[: len(texts)] + np.fromiter(map(len, texts), np.int64, len(texts)), per)
+    last = stop == np.repeat(first[1:], per)
+    length = np.where(last, ends, chars[np.where(last, 0, stop)]) - chars[start]
+    before = np.concatenate(([0], np.cumsum(found.counts)))
+    return length, before[stop] - before[start], stop - start, leaf, sizes, np.diff(found.bounds)
+
+
+def trees(docs: DataFrame, path: str) -> DataFrame:
+    """Table TREE of docs(doc_id, text) and its other columns of which `edited` is to know, here none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            texts = [x or "" for x in batch.column("text").to_pylist()]
+            chars, tokens, pretokens, leaf, sizes, n = leaves_of(texts, path)
+            lists = [_lists(x, leaf) for x in (chars, tokens, pretokens)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(sizes, pa.int64()), *lists], ["doc_id", "text", "n_tokens", "n_pretokens", "chars", "tokens", "pretokens"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, TREE)
+
 
+def edited(table: DataFrame, path: str, edits: str = "edits", whole: bool = True) -> DataFrame:
+    """A table of trees with a column of edits, after the edits; n_before and n_reencoded tell what they did.
 
-def token_counts(docs: DataFrame, path: str, edits: str = "edits") -> DataFrame:
-    """doc_id, n_tokens before the edits, n_edited after them, n_pretokens, n_reencoded; edited_text last."""
+    Without `whole` only doc_id and the counts are returned, not texts and leaves.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache(path)
         for batch in steps(batches):
-            trees = list(counted([x or "" for x in batch.column("text").to_pylist()], path))
-            before = [(t.tokens.total(), t.leaves if t.text else 0) for t in trees]
-            apply(trees, [x or [] for x in batch.column("edits").to_pylist()])
-            made = [(was, t.tokens.total(), pieces, t.encoded, t.text) for t, (was, pieces) in zip(trees, before, strict=True)]
-            kinds = [pa.int64()] * 4 + [pa.string()]
-            columns = [pa.array([m[k] for m in made], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_tokens", "n_edited", "n_pretokens", "n_reencoded", "edited_text"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(edits).cast(EDITS).alias("edits"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, n_edited long, n_pretokens long, n_reencoded long, edited_text string")
+            held = [batch.column(c).to_pylist() for c in ("text", "chars", "tokens", "pretokens")]
+            made = [Tree(*x, path) for x in zip(*held, strict=True)]
+            apply(made, [x or [] for x in batch.column("edits").to_pylist()])
+            columns = [batch.column("doc_id"), batch.column("n_tokens"), *(pa.array([f(t) for t in made], pa.int64()) for f in (lambda t: t.tokens.total(), lambda t: t.pretokens.total(), lambda t: t.encoded))]
+            names = ["doc_id", "n_before", "n_tokens", "n_pretokens", "n_reencoded"]
+            if whole:
+                leaves = [t.leaves() for t in made]
+                columns += [pa.array([t.text for t in made], pa.string()), *(pa.array([[x[k] for x in own] for own in leaves], pa.list_(pa.int32())) for k in range(3))]
+                names += ["text", "chars", "tokens", "pretokens"]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    fields = "doc_id long, n_before long, n_tokens long, n_pretokens long, n_reencoded long"
+    rows = table.select("doc_id", "text", "n_tokens", "chars", "tokens", "pretokens", F.col(edits).cast(EDITS).alias("edits"))
+    return rows.mapInArrow(run, fields + (", text string, chars array<int>, tokens array<int>, pretokens array<int>" if whole else ""))
+
+
+def token_counts(docs: DataFrame, path: str, edits: Column) -> DataFrame:
+    """doc_id, n_tokens before the edits, n_edited after them, n_pretokens (after), n_reencoded: trees are written
+    once, then edited. `edits` is made of the columns doc_id and text."""
+    kept = Scratch(docs.sparkSession, "trees").save(trees(docs, path))
+    done = edited(kept.withColumn("edits", edits), path, whole=False)
+    return done.select("doc_id", F.col("n_before").alias("n_tokens"), F.col("n_tokens").alias("n_edited"), "n_pretokens", "n_reencoded")
 
 
 def derived_edits(text: str = "text") -> Column:
