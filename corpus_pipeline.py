@@ -37,8 +37,7 @@ def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; those without letters, or with no likely language, go."""
-    langs, matrix = language_id.fit(docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
-    found = language_id.identify(docs, langs, matrix, keep=tuple(c for c in docs.columns if c != "text"), carry_text=True)
+    found = language_id.identify(docs, *language_id.fit(docs), keep=tuple(c for c in docs.columns if c != "text"), carry_text=True)
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_CERTAIN)).select(*docs.columns)
 
 
