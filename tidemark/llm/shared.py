@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -71,6 +71,22 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def by_row(docs: DataFrame, work: Callable[[DataFrame], DataFrame], ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """work(docs) where each row counts by itself: if any doc_id is null or repeated, rows have keys instead while
+    work runs, in the order of their doc_ids, null ids last, and the columns `ids` of the result get the doc_ids."""
+    odd = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().where("doc_id is null or count > 1")
+    if odd.isEmpty():
+        return work(docs)
+    rows = docs.orderBy(F.col("doc_id").cast("long").asc_nulls_last(), "text").withColumn("__own_id", F.col("doc_id"))
+    keyed = Scratch(docs.sparkSession, "keyed").save(rows.withColumn("doc_id", F.monotonically_increasing_id()))
+    out = work(keyed.select(*docs.columns))
+    columns = out.columns
+    for name in ids:
+        own = keyed.select(F.col("doc_id").alias(name), F.col("__own_id"))
+        out = out.join(own, name).drop(name).withColumnRenamed("__own_id", name)
+    return out.select(*columns)
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
