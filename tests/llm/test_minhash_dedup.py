@@ -67,6 +67,31 @@ def test_siblings_chains_and_edges(spark):
     assert M.near_dedup(docs.limit(0)).count() == 0
 
 
+def test_a_crowded_bucket_in_many_blocks(spark, monkeypatch):
+    """Many texts of one family of which only some are near each other, with blocks of a few texts."""
+    monkeypatch.setattr(M, "BLOCK", 7)
+    monkeypatch.setattr(M, "SHINGLES", 1500)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    base, texts = [word() for _ in range(120)], {}
+    for i in range(90):
+        own = list(base)
+        for at in rng.sample(range(120), rng.choice([2, 4, 5, 6])):
+            own[at] = word()
+        texts[i] = " ".join(own)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert found(docs) == brute(texts)
+    monkeypatch.setattr(M, "ROUNDS", 0)
+    assert found(docs) == brute(texts)
+
+
+def test_null_and_repeated_ids(spark):
+    rows = [(5, "one two three four five six"), (5, "quite another text than the one before it"), (3, "one two three four five six"), (None, "quite another text than the one before it"), (None, None), (8, "")]
+    out = M.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in out)
+    assert got == sorted([("3", 2, "3", True), ("5", 2, "3", False), ("5", 4, "5", True), ("None", 4, "5", False), ("None", 0, "None", True), ("8", 0, "8", True)])
+
+
 def test_the_second_permutation_is_one():
     x = np.arange(1 << 20, dtype=np.uint32) * np.uint32(4099)
     assert len(np.unique(M._order(x))) == len(x)

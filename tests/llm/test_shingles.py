@@ -25,3 +25,27 @@ def test_words_and_bounds():
 def test_no_collisions_among_many_words():
     words = [f"{a}{b}{c}" for a in "abcdefgh" for b in range(300) for c in ("ing", "gni", "nig", "ign", "ab", "ba", "bb", "aa")]
     assert len(np.unique(S.word_hashes([" ".join(words)])[0])) == len(set(words))
+
+
+def thue_morse(n, a, b):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - x for x in bits]
+    return "".join(b if x else a for x in bits)
+
+
+def test_words_that_polynomials_confuse():
+    words, _ = S.word_hashes([f"{thue_morse(n, 'a', 'b')} {thue_morse(n, 'b', 'a')}" for n in (1024, 2048, 4096)])
+    assert len(np.unique(words)) == 6
+
+
+def test_distinct_pairs():
+    x, y = np.array([3, 1, 3, 1, 3], np.uint64), np.array([5, 2, 4, 2, 5], np.uint64)
+    assert [v.tolist() for v in S.distinct(x, y)] == [[1, 3, 3], [2, 4, 5]]
+    assert [v.tolist() for v in S.distinct(x[:0], y[:0])] == [[], []]
+
+
+def test_sets_of_short_and_empty_texts():
+    sets = S.shingle_sets(["", " a ", "a", "a b c d e", "a b c d e f", "b a"])
+    assert [len(x) for x, _ in sets] == [0, 1, 1, 1, 2, 1]
+    assert sets[1][0] == sets[2][0] != sets[5][0] and sets[3][0][0] in sets[4][0]

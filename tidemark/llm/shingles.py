@@ -3,17 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 
 WORDS = 5
-#: Bytes that one step of hashing handles; a longer single text is a step of its own.
-STEP = 250_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-#: An odd factor of the polynomial hash and its inverse modulo 2**64.
-_BASE = 0xD1342543DE82EF95
-_BACK = pow(_BASE, -1, 1 << 64)
-_VALUES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
-_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_MIX_TOO = np.uint64(0xD1342543DE82EF95)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -23,62 +20,63 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int, held: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006  kept between calls
-    if len(held.get("up", ())) < n:
-        for name, factor in (("up", _BASE), ("down", _BACK)):
-            held[name] = np.cumprod(np.full(n, factor, np.uint64))
-    return held["up"], held["down"]
+def word_lanes(texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes of all words as rows of two numbers, and where each text's words begin and end.
 
+    Words are runs without white space (\\x20, \\x09-\\x0D); only A-Z are lower-cased. Words are split and told apart
+    in Arrow, so each distinct word of a step is hashed once.
+    """
+    column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(column))
+    words = lists.flatten()
+    real = np.asarray(pc.binary_length(words)) > 0  # white space at an end leaves an empty word there
+    before = np.concatenate(([0], np.cumsum(real)))
+    offsets = np.asarray(lists.offsets)
+    coded = words.dictionary_encode()
+    digests = b"".join(map(xxhash.xxh3_128_digest, coded.dictionary.cast(pa.binary()).to_pylist()))
+    lanes = np.frombuffer(digests, np.uint64).reshape(-1, 2)
+    return lanes[np.asarray(coded.indices)[real]], before[offsets - (offsets[0] if len(offsets) else 0)]
 
-def _hashed(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the parts, and how many words each part has."""
-    data = np.frombuffer(b"\n".join(parts).lower() + b"\n", np.uint8)
-    begins = np.concatenate(([0], np.cumsum([len(p) + 1 for p in parts])))
-    gap = _SPACE[data]
-    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
-    if len(data) and not gap[0]:
-        edge = np.concatenate(([0], edge))
-    start, stop = edge[::2], edge[1::2]
-    up, down = _powers(len(data))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_VALUES[data] * up[: len(data)])))
-    words = mixed((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
-    return words, np.diff(np.searchsorted(start, begins))
 
+def word_hashes(texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words, and where each text's words begin and end."""
+    lanes, bounds = word_lanes(texts)
+    return np.ascontiguousarray(lanes[:, 0]), bounds
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words, and where each text's words begin and end.
 
-    Words are runs without white space (\\x20, \\x09-\\x0D); only A-Z are lower-cased, as bytes do. A word's
-    hash is a polynomial over its bytes, taken from prefix sums over the whole step.
-    """
-    words, counts, held, size = [], [], [], 0
-    for part in [t.encode() for t in texts] + [None]:
-        if held and (part is None or size + len(part) > STEP):
-            w, c = _hashed(held)
-            words.append(w)
-            counts.append(c)
-            held, size = [], 0
-        if part is not None:
-            held.append(part)
-            size += len(part)
-    none = np.zeros(0, np.uint64)
-    return np.concatenate([none, *words]), np.concatenate(([0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *counts])))).astype(np.int64)
-
-
-def windows(words: np.ndarray, size: int) -> np.ndarray:
+def windows(words: np.ndarray, size: int, factor: np.uint64 = _MIX) -> np.ndarray:
     """A hash of every run of `size` words."""
     n = max(0, len(words) - size + 1)
     out = np.full(n, size, np.uint64)
     for i in range(size):
-        out = out * _MIX + words[i : i + n]
+        out = out * factor + words[i : i + n]
     return mixed(out)
 
 
-def shingle_sets(texts: list[str], size: int = WORDS) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text; a shorter text is one shingle, an empty one has none."""
-    words, bounds = word_hashes(texts)
-    runs = windows(words, size)
+def shingle_sets(texts: list[str] | pa.Array, size: int = WORDS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct shingles of each text as two aligned arrays of hashes, sorted; a shorter text is one shingle, an
+    empty one has none."""
+    lanes, bounds = word_lanes(texts)
+    own = [(np.ascontiguousarray(lanes[:, k]), factor) for k, factor in enumerate((_MIX, _MIX_TOO))]
+    runs = [windows(x, size, factor) for x, factor in own]
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        out.append(np.unique(runs[a : b - size + 1]) if b - a >= size else windows(words[a:b], b - a) if b > a else words[:0])
+        if b - a >= size:
+            x, y = (r[a : b - size + 1] for r in runs)
+        else:
+            x, y = (windows(w[a:b], b - a, factor) if b > a else w[:0] for w, factor in own)
+        out.append(distinct(x, y))
     return out
+
+
+def distinct(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs, sorted."""
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    same = x[1:] == x[:-1]
+    if (y[1:][same] != y[:-1][same]).any():
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        same = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
+    keep = np.append(True, ~same)[: len(x)]
+    return x[keep], y[keep]
