@@ -1,6 +1,7 @@
 import random
 
 import duckdb
+import pytest
 
 from tidemark.llm import hamming_search as H
 from tidemark.llm import registry
@@ -41,3 +42,20 @@ def test_query_equals_brute_force_sql(spark):
     c.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
     known = c.sql("SELECT query_id, neighbor_id, distance, rank FROM (" + H.SQL + ")").fetchall()
     assert sorted(map(tuple, registry.op2_hamming_search(spark, sf).collect())) == sorted(known)
+
+
+def test_other_lengths_are_an_error(spark):
+    rows = spark.createDataFrame([(i, [0.5] * 32) for i in range(5)], "vec_id long, embedding array<float>")
+    with pytest.raises(ValueError, match="64"):
+        H.embedding_search(rows)
+
+
+def test_far_neighbours_by_either_way_of_probing(spark):
+    """Few codes, far from the queries: late rounds compare the values held; with many codes they probe."""
+    rng = random.Random(10)
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    for n in (40, 1500):
+        codes = [(i, signed(rng.getrandbits(64))) for i in range(n)]
+        queries = [(10_000 + i, signed(rng.getrandbits(64))) for i in range(6)]
+        out = H.top_k(spark.createDataFrame(codes, "id long, code long"), spark.createDataFrame(queries, "id long, code long"), 3).collect()
+        assert {tuple(r) for r in out} == brute(codes, queries, 3)

@@ -1,16 +1,18 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
 A vector's code is the signs of its components, cut into segments that index it. Queries probe each
-segment with all values within a radius that grows by one a round. A code at distance d has a segment
+segment with all values within a radius that grows by one a round; where these are more than the values that
+the index holds in a segment, those values are compared instead, which finds the same. A code at distance d has a segment
 within floor(d / segments), so after radius r every code at distance below segments * (r + 1) has been
 met: a query whose k-th verified distance lies below that is done, the others go on, and look no farther
-than the k-th distance they have. A pair met by
-several segments, or in an earlier round, counts once by the first segment that meets it.
+than the k-th distance they have. A pair met by several segments, or in an earlier round, counts once by the
+first segment that meets it.
 
 Rows with equal codes are one entry of the index, with their count and their k smallest ids: no top k
 by (distance, id) needs more of them, so a code that a third of all rows share costs one row. Queries
 with equal codes are one query likewise. Defined cases: null vectors, and vectors of another length than
-`bits`, are not indexed and have no neighbours; a null component counts as not positive; ties go to the
+BITS, are not indexed and have no neighbours, but a table that holds vectors of other lengths only is an error;
+null ids are left out; a null component counts as not positive; ties go to the
 smaller id; repeated rows are neighbours each, and each query row gets its result; fewer than k rows give
 all of them; an empty table gives an empty result. Other columns are not read.
 """
@@ -53,14 +55,20 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     index = scratch.save(index, "index")
     asked = scratch.save(queries.where("code is not null").select(F.col("id").alias("query_id"), F.col("code").alias("query")), "queries")
     open_ = scratch.save(asked.select("query", F.lit(BITS).alias("edge")).distinct(), "open")
+    held = {r.segment: r.n for r in index.groupBy("segment").agg(F.count_distinct("value").alias("n")).collect()}  # a row for each segment
+    values = scratch.save(index.select("segment", "value").distinct().groupBy("segment").agg(F.collect_list("value").alias("values")), "values")  # 2**WIDTH numbers for a segment at most
     changes = spark.createDataFrame([(r, masks(r)) for r in range(WIDTH + 1)], "radius int, masks array<int>")  # 2**WIDTH numbers
     met = spark.createDataFrame([], "query long, code long, distance int, held int")
     least = F.least(*[F.bit_count(_segment(F.col("query").bitwiseXOR(F.col("code")), i)) for i in range(SEGMENTS)])
     for radius in range(WIDTH + 1):
-        probes = open_.select("query", "edge", F.posexplode(F.array(*[_segment(F.col("query"), i) for i in range(SEGMENTS)])).alias("segment", "own"))
-        probes = probes.withColumn("radius", F.lit(radius)).join(F.broadcast(changes), "radius")
-        probes = probes.select("query", "edge", "segment", F.explode("masks").alias("mask"), "own").select("query", "edge", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
-        found = probes.join(index, ["segment", "value"])
+        # Each task probes for some queries: the small table of open ones is dealt out before it is multiplied.
+        probes = open_.select("query", "edge", F.posexplode(F.array(*[_segment(F.col("query"), i) for i in range(SEGMENTS)])).alias("segment", "own")).repartition("query", "segment")
+        many = [i for i in range(SEGMENTS) if len(masks(radius)) > held.get(i, 0)]
+        few = probes.where(~F.col("segment").isin(many)).withColumn("radius", F.lit(radius)).join(F.broadcast(changes), "radius")
+        few = few.select("query", "edge", "segment", F.explode("masks").alias("mask"), "own").select("query", "edge", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
+        swept = probes.where(F.col("segment").isin(many)).join(F.broadcast(values), "segment")
+        swept = swept.select("query", "edge", "segment", F.explode(F.expr(f"filter(values, v -> bit_count(v ^ own) = {radius})")).alias("value"))
+        found = few.unionByName(swept).join(index, ["segment", "value"])
         apart = F.col("query").bitwiseXOR(F.col("code"))
         earlier = [(F.col("segment") > i) & (F.bit_count(_segment(apart, i)) <= radius) for i in range(SEGMENTS)]
         near = F.bit_count(apart) <= F.col("edge")  # no farther than the k-th met so far
@@ -81,11 +89,17 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             break
     pairs = met.join(entries, "code").select("query", "distance", F.explode("ids").alias("neighbor_id"))
     pairs = pairs.selectExpr("query", "neighbor_id", "distance", "row_number() over (partition by query order by distance, neighbor_id) as rank").where(F.col("rank") <= k)
-    return asked.join(pairs, "query").select("query_id", "neighbor_id", F.col("distance").cast("int").alias("distance"), F.col("rank").cast("int").alias("rank"))
+    # A query code is asked for by any number of rows: its at most k results go to all of them as one row.
+    results = pairs.groupBy("query").agg(F.collect_list(F.struct("neighbor_id", "distance", "rank")).alias("found"))
+    answered = asked.join(results, "query").select("query_id", F.explode("found").alias("found")).select("query_id", "found.*")
+    return answered.select("query_id", "neighbor_id", F.col("distance").cast("int").alias("distance"), F.col("rank").cast("int").alias("rank"))
 
 
 def embedding_search(embeddings: DataFrame, k: int = 10, every: int = 20) -> DataFrame:
     """The k nearest rows of every row whose vec_id is divisible by `every`, itself among them."""
+    sizes = embeddings.agg(F.count("embedding").alias("all"), F.count_if(F.size("embedding") == BITS).alias("fit")).first()
+    if sizes["all"] and not sizes["fit"]:
+        raise ValueError(f"no vector has {BITS} components")
     codes = embeddings.where(F.size("embedding") == BITS).select(F.col("vec_id").cast("long").alias("id"), code_of(F.col("embedding")).alias("code")).where("id is not null")
     return top_k(codes, codes.where(F.col("id") % every == 0), k)
 
