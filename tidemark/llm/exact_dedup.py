@@ -3,8 +3,8 @@
 Texts are equal when they are identical without white space. Rows are combined in three steps, each
 of which groups on the full content beside its digest: within a map task (partial aggregation), per
 salted digest group, and over the salt winners. Only digests that hold at least `hot_share` of all
-rows get salts; there are at most 1 / hot_share of them, so the list of hot digests may be broadcast
-at any size of input. Cold groups are complete after the salted step and carry no content further.
+rows get salts; there are at most 1 / hot_share of them, so the list of hot digests, and their groups in
+the end, may be broadcast at any size of input. Cold groups are complete after the salted step and carry no content further.
 
 Defined cases: a null text is the empty text; empty texts form one group; of rows with as many code
 points the smallest doc_id stays, null ids last; rows that repeat a doc_id count as members each
@@ -14,6 +14,8 @@ Two contents under one SHA-256 digest would raise an error, never merge.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.shared import SPACES, Scratch, text_of
@@ -46,7 +48,7 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot
     scratch = Scratch(docs.sparkSession, "exact")
     digest = F.unhex(F.sha2(normalised(text).cast("binary"), 256))
     light = scratch.save(docs.select(F.col(doc_id).cast("long").alias("doc_id"), digest.alias("digest")), "digests")
-    hot = light.groupBy("digest").count().where(F.col("count") >= max(2, int(light.count() * hot_share))).select("digest", F.lit(True).alias("hot"))
+    hot = scratch.save(light.groupBy("digest").count().where(F.col("count") >= max(2, math.ceil(light.count() * hot_share))).select("digest", F.lit(True).alias("hot")), "hot")
 
     rows = docs.select(digest.alias("digest"), normalised(text).alias("content"), _rank(text, doc_id).alias("best"))
     rows = rows.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.when(F.col("hot"), F.spark_partition_id() % salts))
@@ -56,7 +58,12 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot
     groups = contents.groupBy("digest").agg(F.count(F.lit(1)).alias("contents"), F.sum("n").alias("n"), F.max("best").alias("best"))
     one = F.when(F.col("contents") > 1, F.raise_error(F.lit("two contents under one digest"))).otherwise(F.col("n"))
     keep = _ranked_id(F.col("best"))
-    return light.join(groups, "digest").select(
+    # Rows of hot digests meet their groups by broadcast, of which there are at most 1 / hot_share; the others shuffle.
+    groups = scratch.save(groups, "groups")
+    marked = light.join(F.broadcast(hot), "digest", "left")
+    warm = marked.where("hot").join(F.broadcast(groups.join(F.broadcast(hot), "digest", "left_semi")), "digest")
+    cold = marked.where("hot is null").join(groups, "digest")
+    return warm.unionByName(cold).select(
         "doc_id",
         keep.alias("keep_id"),
         one.cast("long").alias("group_size"),
