@@ -59,3 +59,14 @@ def test_null_and_repeated_ids(spark):
     out = sorted((str(r.doc_id), r.text.strip()) for r in docs.collect())
     want = [(None, clean), (None, same), (5, twice), (6, one), (6, two), (7, passage), (8, held[8][1]), (8, held[9][1][: -len(passage)])]
     assert out == sorted((str(i), t.strip()) for i, t in want)
+
+
+def test_clashing_columns(spark):
+    names = "score lang_pred cuts kept keep_id component_id n_shingles digest rows key size best a b held_out __cuts_ words chains".split()
+    rows = [(i, f"the words of document number {i} " * 4 + "and some of its own " * i, "en", None, 9, *["x"] * len(names)) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    for name, stage in C.STAGES[:-1]:
+        docs = Scratch(spark, "t").save(stage(spark, docs, ""), name)
+        assert docs.columns[5:] == names
+    assert docs.count() and all(r.score == r.best == "x" for r in docs.collect())
+    assert C.STAGES[-1][1](spark, docs, "").count() == docs.count()

@@ -90,8 +90,8 @@ def fit(docs: DataFrame, most_rows: int = 5_000, bits: int = BITS) -> tuple[list
     return langs, np.log(matrix / matrix.sum(axis=1, keepdims=True)), np.log(seen / seen.sum())
 
 
-def identify(docs: DataFrame, langs: list[str], matrix: np.ndarray, prior: np.ndarray, keep: tuple[str, ...] = ("doc_id",), carry_text: bool = False) -> DataFrame:
-    """The kept columns of docs, and text if asked for, with lang_pred and score."""
+def identify(docs: DataFrame, langs: list[str], matrix: np.ndarray, prior: np.ndarray, keep: tuple[str, ...] = ("doc_id",), carry_text: bool = False, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The kept columns of docs, and text if asked for, with lang_pred and score, or under other names."""
     keep = (*keep, "text") if carry_text else keep
     shared = docs.sparkSession.sparkContext.broadcast((langs, matrix, prior))
     bits = int(matrix.shape[1]).bit_length() - 1
@@ -108,15 +108,15 @@ def identify(docs: DataFrame, langs: list[str], matrix: np.ndarray, prior: np.nd
                     if len(some):
                         sums[i, some] += np.add.reduceat(np.append(matrix[i][hashed], 0.0), edges)[::2]
             known = np.array([bool(langs) and any(map(str.isalpha, t)) for t in texts], dtype=bool)
-            names, scores = np.array(["und"] * len(texts), dtype=object), np.zeros(len(texts))
+            langs_of, scores = np.array(["und"] * len(texts), dtype=object), np.zeros(len(texts))
             if langs:
                 best = sums.argmax(axis=0)
-                names[known] = np.array(langs, dtype=object)[best[known]]
+                langs_of[known] = np.array(langs, dtype=object)[best[known]]
                 scores[known] = (1.0 / np.exp(sums - sums.max(axis=0)).sum(axis=0))[known]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(langs_of, pa.string()), pa.array(scores, pa.float64())], [*keep, *names])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(predict, f"{fields}, lang_pred string, score double")
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(predict, f"{fields}, `{names[0]}` string, `{names[1]}` double")
 
 
 def language_id(docs: DataFrame, fold: Column | None = None, most_rows: int = 5_000) -> DataFrame:
