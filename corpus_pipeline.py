@@ -37,8 +37,8 @@ def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; those without letters, or with no likely language, go."""
-    found = language_id.identify(docs, *language_id.fit(docs), keep=tuple(c for c in docs.columns if c != "text"), carry_text=True)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_CERTAIN)).select(*docs.columns)
+    found = language_id.identify(docs, *language_id.fit(docs), keep=tuple(c for c in docs.columns if c != "text"), carry_text=True, names=("__lang", "__certain"))
+    return found.where((F.col("__lang") != "und") & (F.col("__certain") >= LEAST_CERTAIN)).select(*docs.columns)
 
 
 def stage_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
