@@ -33,7 +33,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the beginnings of words that are tokens of their own.
 HEADS = (5, 6, 7, 8)
 #: Cost of a token without evidence; weight of the prior; standard deviations to the interval's lower end.
-DRIFT, PRIOR, DEVIATIONS = 0.25, 1000.0, 2.0
+DRIFT, PRIOR, DEVIATIONS = 0.25, 1000.0, 3.0
 #: The constant of the extreme-value law; its exact value is absorbed by the logistic fit.
 K = 0.1
 #: Bounds of a text's evidence.
