@@ -19,10 +19,10 @@ def commit(log: DataFrame, items: DataFrame, first_seqno: int) -> DataFrame:
     return log.select("ks", "k", "seqno", "vt", "v").unionByName(wrote)
 
 
-def fault(k: str = "k", v: str = "v") -> Column:
+def fault(k: str = "k", v: str = "v", most_key: int = MOST_KEY) -> Column:
     """What is wrong with an item, or null."""
     size = F.octet_length(F.coalesce(F.col(k), F.lit("")))
-    return F.when(size == 0, "empty key").when(size > MOST_KEY, "long key").when(F.octet_length(v).cast("long") > F.lit(MOST_VALUE), "long value")
+    return F.when(size == 0, "empty key").when(size > most_key, "long key").when(F.octet_length(v).cast("long") > F.lit(MOST_VALUE), "long value")
 
 
 def checked(items: DataFrame) -> DataFrame:

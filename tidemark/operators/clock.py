@@ -40,12 +40,32 @@ def sync_state(before: Column, after: Column, least: int = LEAST_PEERS) -> Colum
     return F.when((before >= least) & (after >= least), "synchronized").otherwise("failed")
 
 
+def mean_deviation(samples: DataFrame, by: str, value: str) -> DataFrame:
+    """Mean and population deviation of each group."""
+    return samples.groupBy(by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"))
+
+
+def synchronized(samples: DataFrame, by: str, local: str, consensus: DataFrame) -> DataFrame:
+    """samples with `synchronized`: the local time plus the consensus offset of the group; without one, the local time."""
+    return samples.join(consensus, by, "left").withColumn("synchronized", F.col(local) + F.coalesce("consensus", F.lit(0))).drop("consensus")
+
+
+def usable(samples: DataFrame, delay_ns: str, most: int = MOST_DELAY_NS) -> DataFrame:
+    """samples whose delay is not over the limit, with `confidence`."""
+    return samples.where(F.abs(F.col(delay_ns)) <= most).withColumn("confidence", confidence(F.col(delay_ns)))
+
+
 def last_n(samples: DataFrame, by: str, order: str, n: int) -> DataFrame:
     """What a ring buffer of n holds for each group."""
     return samples.withColumn("_rn", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order)))).where(F.col("_rn") <= n).drop("_rn")
 
 
+def ring(samples: DataFrame, by: str, order: str, n: int) -> DataFrame:
+    """What a ring buffer of n holds, with `place`, from 1 for the oldest."""
+    return last_n(samples, by, order, n).withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(order)))
+
+
 def transaction_id(ms: Column, node: Column, counter: Column) -> Column:
     """42 bits of milliseconds, 10 of the node, 12 of the counter."""
     low = F.shiftleft(node.cast("long").bitwiseAND(F.lit(1023)), 12).bitwiseOR(counter.cast("long").bitwiseAND(F.lit(4095)))
-    return F.shiftleft(ms.cast("long").bitwiseAND(F.lit((1 << 41) - 1)), 22).bitwiseOR(low)
+    return F.shiftleft(ms.cast("long").bitwiseAND(F.lit((1 << 42) - 1)), 22).bitwiseOR(low)

@@ -4,23 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tidemark.sources.storage import running_sums
+
+#: Bytes of a key that ingestion takes at most.
+MOST_KEY = 65_536
+
 
 def entry_bytes():
     return F.octet_length("k") + F.coalesce(F.octet_length("v"), F.lit(0))
 
 
-def split(rows: DataFrame, most_bytes: int, leading: int = 6) -> DataFrame:
-    """rows with `table_no`: the running size in key order, divided by the most a table may hold.
-
-    The running size is a two-level prefix sum: within ranges of keys with the same leading characters,
-    and over the sums of those ranges.
-    """
-    sized = rows.withColumn("_size", entry_bytes().cast("long")).withColumn("_range", F.substring("k", 1, leading))
-    ranges = sized.groupBy("_range").agg(F.sum("_size").alias("_all"))
-    base = ranges.select("_range", F.coalesce(F.sum("_all").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    own = F.sum("_size").over(Window.partitionBy("_range").orderBy("k", F.desc("seqno")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    end = F.col("_base") + F.col("_own")
-    return sized.withColumn("_own", own).join(base, "_range").withColumn("table_no", F.floor((end - F.col("_size")) / most_bytes).cast("long")).drop("_size", "_range", "_own", "_base")
+def split(rows: DataFrame, most_bytes: int) -> DataFrame:
+    """rows with `table_no`: the running size in key order, divided by the most a table may hold."""
+    ends = running_sums(rows, {"_end": entry_bytes().cast("long")}, F.col("k"), F.desc("seqno"))
+    return ends.withColumn("table_no", F.floor((F.col("_end") - entry_bytes()) / most_bytes).cast("long")).drop("_end")
 
 
 def out_of_order(rows: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.operators.ingest import entry_bytes
+from tidemark.sources.storage import running_sums, small, written
 
 TABLE_BYTES, L0_RUNS, TIERED_RUNS, FIFO_BYTES = 64 << 20, 4, 4, 1 << 30
 THROTTLE_RUNS, HALT_RUNS, HALT_SEALED = 20, 30, 4
@@ -30,6 +31,31 @@ def overlaps(meta: DataFrame) -> DataFrame:
     return a.join(b, (F.col("a.run") < F.col("b.run")) & meets).select(F.col("a.run").alias("run_a"), F.col("b.run").alias("run_b"))
 
 
+def overlap_counts(meta: DataFrame, others: DataFrame) -> DataFrame:
+    """meta with `overlapping`: how many key ranges of others(min_k, max_k) overlap each run's.
+
+    One sweep over all bounds in order: those that begin at or before a run's end, without those that end
+    before its start. No pair is made.
+    """
+
+    def points(rows: DataFrame, x: str, turn: int, begins: int, ends: int, asks: int) -> DataFrame:
+        run = F.col("run") if asks else F.lit(None)
+        return rows.select(F.col(x).alias("x"), F.lit(turn).alias("turn"), F.lit(begins).alias("begins"), F.lit(ends).alias("ends"), run.cast("long").alias("run"), F.lit(asks).alias("asks"))
+
+    # At one key: begins, then a run's own two questions, then ends.
+    rows = points(others, "min_k", 0, 1, 0, 0).unionByName(points(others, "max_k", 2, 0, 1, 0)).unionByName(points(meta, "max_k", 1, 0, 0, 1)).unionByName(points(meta, "min_k", 1, 0, 0, -1))
+    swept = running_sums(rows, {"begun": F.col("begins"), "ended": F.col("ends")}, F.col("x"), F.col("turn"), F.col("run"))
+    counts = swept.where("asks <> 0").groupBy("run").agg(F.sum(F.when(F.col("asks") == 1, F.col("begun")).otherwise(-F.col("ended"))).cast("long").alias("overlapping"))
+    return meta.join(counts, "run")
+
+
+def may_contain(meta: DataFrame, keys: DataFrame) -> DataFrame:
+    """keys(k) with the number of runs whose key range holds each."""
+    asked = keys.select("k").distinct().withColumn("run", F.monotonically_increasing_id())
+    counts = overlap_counts(written(asked, "keys").select("run", "k", F.col("k").alias("min_k"), F.col("k").alias("max_k")), meta)
+    return counts.select("k", F.col("overlapping").alias("runs"))
+
+
 def hull(meta: DataFrame) -> DataFrame:
     return meta.agg(F.min("min_k").alias("min_k"), F.max("max_k").alias("max_k"))
 
@@ -37,10 +63,21 @@ def hull(meta: DataFrame) -> DataFrame:
 def leveled_pick(meta: DataFrame, level: int = 0) -> DataFrame:
     """All runs of a level and the runs of the next one that overlap any of them."""
     upper = meta.where(F.col("level") == level)
-    lower = meta.where(F.col("level") == level + 1)
-    reach = upper.select(F.col("min_k").alias("lo"), F.col("max_k").alias("hi"))
-    touched = lower.join(F.broadcast(reach), overlap(F.col("min_k"), F.col("max_k"), F.col("lo"), F.col("hi")), "left_semi")
-    return upper.unionByName(touched)
+    touched = overlap_counts(meta.where(F.col("level") == level + 1), upper).where("overlapping > 0")
+    return upper.unionByName(touched.select(*meta.columns))
+
+
+def major_compact(log: DataFrame, meta: DataFrame, watermark: int, level: int = 0, all_runs: bool = False) -> DataFrame:
+    """What replaces the runs that leveled_pick takes; log rows carry their run. Tombstones go only if no other
+    run may hold their keys."""
+    picked = leveled_pick(meta, level).select("run")
+    return compact(log.join(small(picked), "run", "left_semi"), watermark, all_runs=all_runs)
+
+
+def reclaimable(log: DataFrame, by: str, keys: tuple[str, ...] = ("k",)) -> DataFrame:
+    """Weak tombstones that would vanish together with the value right below them, for each run."""
+    below = F.lag("vt").over(Window.partitionBy(*keys).orderBy("seqno"))
+    return log.withColumn("_below", below).where("vt = 2 and _below = 0").groupBy(by).agg(F.count(F.lit(1)).alias("reclaimable"))
 
 
 def tiered_pick(meta: DataFrame, most: int = TIERED_RUNS) -> DataFrame:
@@ -52,8 +89,7 @@ def tiered_pick(meta: DataFrame, most: int = TIERED_RUNS) -> DataFrame:
 
 def fifo_drop(meta: DataFrame, most_bytes: int = FIFO_BYTES) -> DataFrame:
     """The oldest runs beyond what the newest ones, up to most_bytes, hold."""
-    newer = F.sum("bytes").over(Window.orderBy(F.desc("run")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return meta.withColumn("held", newer).where(F.col("held") > most_bytes).drop("held")
+    return running_sums(meta, {"held": F.col("bytes")}, F.desc("run")).where(F.col("held") > most_bytes).drop("held")
 
 
 def strategy_state(meta: DataFrame) -> DataFrame:
@@ -100,7 +136,7 @@ def annihilate(log: DataFrame, keys: tuple[str, ...] = ("k",)) -> DataFrame:
 
 
 def as_of_merge(*sources: DataFrame) -> DataFrame:
-    """Ordered union of runs, all versions kept."""
+    """Ordered union of runs, all versions kept: keys ascending, of a key the newest first."""
     out = sources[0]
     for s in sources[1:]:
         out = out.unionByName(s)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.sources.changelog import is_value
+from tidemark.sources.storage import bounds, part_of
 
 
 def versions(log: DataFrame, snapshot: int | None = None) -> DataFrame:
@@ -72,18 +73,41 @@ def approximate_length(log: DataFrame, error: float = 0.02) -> DataFrame:
     return log.agg(F.approx_count_distinct("k", error).alias("n"))
 
 
-def as_of(history: DataFrame, asked: DataFrame) -> DataFrame:
-    """For each asked(id, k, at): the newest version of k strictly before `at`, else the oldest.
+def versions_at(history: DataFrame, asked: DataFrame, columns: tuple[str, ...] = (), parts: int = 64) -> DataFrame:
+    """asked(k, at, ...) with {seqno, other columns} of the newest version of k at or below `at` as `found`, or
+    null, and the smallest sequence number of k as `oldest`.
 
-    History and questions are sorted together per key, so a key is never expanded into pairs.
+    History and questions are sorted together per key, so a key is never expanded into pairs. A key's rows are
+    dealt over parts of the sequence numbers; newest versions go from part to part as one row each.
     """
-    both = history.select("k", F.col("seqno").alias("at"), F.lit(0).alias("kind"), "seqno", F.lit(None).cast("long").alias("id")).unionByName(
-        asked.select("k", "at", F.lit(-1).alias("kind"), F.lit(None).cast("long").alias("seqno"), "id")
+    cuts = bounds(history, "seqno", parts)
+    version = F.struct("seqno", *columns)
+    rows = history.select("k", F.col("seqno").alias("_at"), F.lit(0).alias("_kind"), version.alias("_version"), F.lit(None).cast(asked.schema).alias("_asked")).unionByName(
+        asked.select("k", F.col("at").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).alias("_version"), F.struct(*asked.columns).alias("_asked"))
     )
-    before = Window.partitionBy("k").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy("k").orderBy("at", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    found = both.select("id", "k", "at", "kind", F.coalesce(F.max("seqno").over(before), F.min("seqno").over(after)).alias("seqno"))
-    return found.where("kind = -1 and seqno is not null").select("id", "k", "at", "seqno")
+    rows = rows.withColumn("_part", part_of(F.col("_at"), cuts))
+    of_part = rows.groupBy("k", "_part").agg(F.max("_version").alias("_last"), F.min("_version.seqno").alias("_low"))
+    before = Window.partitionBy("k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = of_part.select("k", "_part", F.max("_last").over(before).alias("_before"), F.min("_low").over(Window.partitionBy("k")).alias("_oldest"))
+    own = Window.partitionBy("k", "_part").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.withColumn("_own", F.max("_version").over(own)).where("_kind = 1").join(carried, ["k", "_part"])
+    return found.select("_asked.*", F.coalesce("_own", "_before").alias("found"), F.col("_oldest").alias("oldest"))
+
+
+def as_of(history: DataFrame, asked: DataFrame) -> DataFrame:
+    """For each asked(id, k, at): the newest version of k strictly before `at`, else the oldest."""
+    found = versions_at(history, asked.select("id", "k", (F.col("at") - 1).alias("at")))
+    return found.select("id", "k", (F.col("at") + 1).alias("at"), F.coalesce("found.seqno", "oldest").alias("seqno")).where("seqno is not null")
+
+
+def without(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows whose key is not among keys(k)."""
+    return rows.join(keys.select("k"), "k", "left_anti")
+
+
+def value_if(log: DataFrame, wanted: Column, snapshot: int | None = None) -> DataFrame:
+    """k, and v only of the keys that satisfy `wanted`; without a value column it reads keys alone."""
+    return resolve(log, snapshot).select("k", F.when(wanted, F.col("v")).alias("v"))
 
 
 def watermark(snapshots: DataFrame, current: int) -> DataFrame:

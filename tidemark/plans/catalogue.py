@@ -6,14 +6,13 @@ operator itself takes.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions import sizing
 from tidemark.operators import batch, blobs, clock, ingest, layout, metrics, mvcc, replication, transactions
+from tidemark.sources import changelog
 from tidemark.sources.changelog import events_log, table
+from tidemark.sources.storage import running_sums, shared_folder, written
 from tidemark.streaming import latest
 
 QUERIES: dict = {}
@@ -25,12 +24,18 @@ LOG = """log AS (
          CASE event_type WHEN 'error' THEN 1 WHEN 'signup' THEN 2 ELSE 0 END AS vt, props AS v,
          event_id // 512 AS run, CASE WHEN event_id // 512 % 4 = 3 THEN 0 ELSE 1 END AS level
   FROM events)"""
+#: The snapshot in the middle of the log.
+HALF = "(SELECT max(seqno) // 2 FROM log)"
 NEWEST = "SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY k ORDER BY seqno DESC) = 1"
 META = """meta AS (SELECT run, any_value(level) AS level, min(k) AS min_k, max(k) AS max_k, min(seqno) AS min_seqno, max(seqno) AS max_seqno,
   count(*) AS entries, CAST(sum(strlen(k) + coalesce(strlen(v), 0)) AS BIGINT) AS bytes FROM log GROUP BY run)"""
 ORDER_LOG = """olog AS (SELECT 'c' || lpad(CAST(o_custkey AS VARCHAR), 8, '0') AS k, o_orderkey AS seqno, o_orderstatus AS st, o_orderpriority AS v, o_orderdate FROM orders)"""
 
 
+def half(log: DataFrame) -> int:
+    return changelog.last_seqno(log) // 2
+
+
 def query(sql: str | None):
     def register(f):
         QUERIES[f.__name__] = f
@@ -49,9 +54,10 @@ def _meta(spark: SparkSession, sf: str) -> DataFrame:
 # Reads
 
 
-@query(f"WITH {LOG} SELECT k, seqno, v FROM (SELECT * FROM log WHERE seqno <= 5000 QUALIFY row_number() OVER (PARTITION BY k ORDER BY seqno DESC) = 1) WHERE vt = 0")
+@query(f"WITH {LOG} SELECT k, seqno, v FROM (SELECT * FROM log WHERE seqno <= {HALF} QUALIFY row_number() OVER (PARTITION BY k ORDER BY seqno DESC) = 1) WHERE vt = 0")
 def snapshot_read(spark, sf):
-    return mvcc.resolve(events_log(spark, sf), 5000).select("k", "seqno", "v")
+    log = events_log(spark, sf)
+    return mvcc.resolve(log, half(log)).select("k", "seqno", "v")
 
 
 @query(f"WITH {LOG} SELECT vt, count(*) AS n FROM ({NEWEST}) GROUP BY vt")
@@ -84,15 +90,16 @@ def raw_len(spark, sf):
     return mvcc.versions(events_log(spark, sf)).agg(F.count(F.lit(1)).alias("versions"), F.count_if(F.col("vt") == 0).alias("raw_values"), F.count_distinct("k").alias("n_keys"))
 
 
-@query(f"WITH {LOG} SELECT k, seqno, vt FROM log WHERE seqno <= 3000 AND k >= 'u000100' AND k < 'u000120'")
+@query(f"WITH {LOG} SELECT k, seqno, vt FROM log WHERE seqno <= {HALF} AND k >= 'u000100' AND k < 'u000120'")
 def raw_scan(spark, sf):
-    log = events_log(spark, sf).where(mvcc.in_range("u000100", "u000120", high_open=True))
-    return mvcc.versions(log, 3000).select("k", "seqno", "vt")
+    log = events_log(spark, sf)
+    return mvcc.versions(log.where(mvcc.in_range("u000100", "u000120", high_open=True)), half(log)).select("k", "seqno", "vt")
 
 
-@query(f"WITH {LOG} SELECT k, seqno, v FROM (SELECT * FROM log WHERE k = 'u000042' AND seqno <= 9000 QUALIFY row_number() OVER (PARTITION BY k ORDER BY seqno DESC) = 1) WHERE vt = 0")
+@query(f"WITH {LOG} SELECT k, seqno, v FROM (SELECT * FROM log WHERE k = 'u000042' AND seqno <= {HALF} QUALIFY row_number() OVER (PARTITION BY k ORDER BY seqno DESC) = 1) WHERE vt = 0")
 def point_get(spark, sf):
-    return mvcc.get(events_log(spark, sf), "u000042", 9000).select("k", "seqno", "v")
+    log = events_log(spark, sf)
+    return mvcc.get(log, "u000042", half(log)).select("k", "seqno", "v")
 
 
 @query("SELECT c_custkey AS k, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey = (SELECT max(o_orderkey) FROM orders x WHERE x.o_custkey = c_custkey) AND o_orderstatus <> 'F') AS present FROM customer")
@@ -122,24 +129,20 @@ def version_asof(spark, sf):
     return mvcc.as_of(history, asked).withColumnRenamed("at", "asked")
 
 
-@query("WITH h AS (SELECT user_id AS seqno, sum(CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE -1 END) AS refs FROM events GROUP BY 1 HAVING refs > 0) SELECT CAST(coalesce(min(seqno) - 1, 9999) AS BIGINT) AS watermark, CAST(coalesce(sum(refs), 0) AS BIGINT) AS open_snapshots FROM h")
+@query("WITH h AS (SELECT user_id AS seqno, sum(CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE -1 END) AS refs FROM events GROUP BY 1 HAVING refs > 0) SELECT CAST(coalesce(min(seqno) - 1, (SELECT max(event_id) FROM events)) AS BIGINT) AS watermark, CAST(coalesce(sum(refs), 0) AS BIGINT) AS open_snapshots FROM h")
 def gc_watermark(spark, sf):
     change = F.when(F.col("event_type").isin("click", "view"), 1).otherwise(-1)
-    return mvcc.watermark(table(spark, sf, "events").select(F.col("user_id").alias("seqno"), change.alias("change")), 10_000)
+    return mvcc.watermark(table(spark, sf, "events").select(F.col("user_id").alias("seqno"), change.alias("change")), changelog.last_seqno(events_log(spark, sf)))
 
 
 @query("SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderdate, o_orderkey) + 99 AS seqno FROM orders")
 def seqno_assign(spark, sf):
-    from tidemark.sources import changelog
-
     rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), "o_orderdate")
     return changelog.number(rows, 100, ["o_orderdate", "k"]).select("k", "seqno")
 
 
 @query(f"WITH {LOG}, clears AS (SELECT k, max(seqno) AS cleared FROM log WHERE vt = 2 GROUP BY k) SELECT l.k, count(*) AS n FROM log l LEFT JOIN clears c ON l.k = c.k WHERE c.cleared IS NULL OR l.seqno > c.cleared GROUP BY l.k")
 def clear_epoch(spark, sf):
-    from tidemark.sources import changelog
-
     log = events_log(spark, sf).withColumn("ks", F.col("k"))
     clears = log.where("vt = 2").select("ks", F.col("seqno").alias("cleared"))
     return changelog.live(log, clears).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
@@ -201,22 +204,25 @@ def ingest_order_check(spark, sf):
 # Layout and compaction
 
 
-@query(f"WITH {LOG} SELECT k, seqno, vt FROM ({NEWEST}) WHERE vt = 0 OR seqno >= 9900")
+@query(f"WITH {LOG} SELECT k, seqno, vt FROM ({NEWEST}) WHERE vt = 0 OR seqno >= {HALF}")
 def compaction_gc(spark, sf):
-    return layout.compact(events_log(spark, sf), 9900, keep_snapshots=False).select("k", "seqno", "vt")
+    log = events_log(spark, sf)
+    return layout.compact(log, half(log), keep_snapshots=False).select("k", "seqno", "vt")
 
 
 @query(
-    f"WITH {LOG} SELECT k, seqno, vt FROM log WHERE seqno >= 9000 UNION ALL SELECT k, seqno, vt FROM (SELECT * FROM log WHERE seqno < 9000 QUALIFY row_number() OVER (PARTITION BY k ORDER BY seqno DESC) = 1) WHERE vt = 0"
+    f"WITH {LOG} SELECT k, seqno, vt FROM log WHERE seqno >= {HALF} UNION ALL SELECT k, seqno, vt FROM (SELECT * FROM log WHERE seqno < {HALF} QUALIFY row_number() OVER (PARTITION BY k ORDER BY seqno DESC) = 1) WHERE vt = 0"
 )
 def compaction_mvcc(spark, sf):
-    return layout.compact(events_log(spark, sf), 9000).select("k", "seqno", "vt")
+    log = events_log(spark, sf)
+    return layout.compact(log, half(log)).select("k", "seqno", "vt")
 
 
-@query(f"WITH {LOG}, top AS (SELECT * FROM log WHERE run >= 10) SELECT k, seqno, vt FROM top WHERE seqno >= 8000 UNION ALL SELECT k, seqno, vt FROM (SELECT * FROM top WHERE seqno < 8000 QUALIFY row_number() OVER (PARTITION BY k ORDER BY seqno DESC) = 1)")
+@query(f"WITH {LOG}, top AS (SELECT * FROM log WHERE level = 1) SELECT k, seqno, vt FROM top WHERE seqno >= {HALF} UNION ALL SELECT k, seqno, vt FROM (SELECT * FROM top WHERE seqno < {HALF} QUALIFY row_number() OVER (PARTITION BY k ORDER BY seqno DESC) = 1)")
 def compaction_partial(spark, sf):
-    """Some runs only: tombstones must stay, older runs may hold their keys."""
-    return layout.compact(events_log(spark, sf).where("run >= 10"), 8000, all_runs=False).select("k", "seqno", "vt")
+    """The runs of one level only: tombstones must stay, other runs may hold their keys."""
+    log = events_log(spark, sf)
+    return layout.compact(log.where("run % 4 <> 3"), half(log), all_runs=False).select("k", "seqno", "vt")
 
 
 @query(f"WITH {LOG}, n AS (SELECT *, lead(vt) OVER w AS above, lag(vt) OVER w AS below FROM log WINDOW w AS (PARTITION BY k ORDER BY seqno)) SELECT k, seqno, vt FROM n WHERE NOT ((vt = 0 AND coalesce(above, 0) = 2) OR (vt = 2 AND coalesce(below, 1) = 0))")
@@ -270,36 +276,47 @@ def drop_range(spark, sf):
 
 # Transactions
 
-OVERLAY = "overlay AS (SELECT user_id % 7 AS tx, 'u' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS k, event_id AS ord, CASE WHEN event_type IN ('error', 'signup') THEN 1 ELSE 0 END AS vt, 'own ' || event_type AS v FROM events WHERE event_id % 11 = 0)"
+OVERLAY = "overlay AS (SELECT event_id // 50 AS tx, 'u' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS k, event_id AS ord, CASE WHEN event_type IN ('error', 'signup') THEN 1 ELSE 0 END AS vt, 'own ' || event_type AS v FROM events)"
 
 
 def _overlay(spark, sf):
-    e = table(spark, sf, "events").where("event_id % 11 = 0")
+    e = table(spark, sf, "events")
     return e.select(
-        (F.col("user_id") % 7).alias("tx"), F.concat(F.lit("u"), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("k"), F.col("event_id").alias("ord"), F.when(F.col("event_type").isin("error", "signup"), 1).otherwise(0).alias("vt"), F.concat(F.lit("own "), F.col("event_type")).alias("v")
+        F.floor(F.col("event_id") / 50).cast("long").alias("tx"), F.concat(F.lit("u"), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("k"), F.col("event_id").alias("ord"), F.when(F.col("event_type").isin("error", "signup"), 1).otherwise(0).alias("vt"), F.concat(F.lit("own "), F.col("event_type")).alias("v")
     )
 
 
-SEEN = f"""{LOG}, {OVERLAY}, base AS (SELECT k, v FROM (SELECT * FROM log WHERE seqno <= 5000 QUALIFY row_number() OVER (PARTITION BY k ORDER BY seqno DESC) = 1) WHERE vt = 0),
-mine AS (SELECT k, vt, v FROM overlay WHERE tx = 3 QUALIFY row_number() OVER (PARTITION BY k ORDER BY ord DESC) = 1),
+#: The overlay of one transaction: all events from the middle on, its writes in their order.
+SEEN = f"""{LOG}, base AS (SELECT k, v FROM (SELECT * FROM log WHERE seqno <= {HALF} QUALIFY row_number() OVER (PARTITION BY k ORDER BY seqno DESC) = 1) WHERE vt = 0),
+mine AS (SELECT k, CASE WHEN vt = 0 THEN 0 ELSE 1 END AS vt, 'own ' || v AS v FROM log WHERE seqno > {HALF} QUALIFY row_number() OVER (PARTITION BY k ORDER BY seqno DESC) = 1),
 seen AS (SELECT coalesce(m.k, b.k) AS k, CASE WHEN m.k IS NULL THEN b.v ELSE m.v END AS v, m.k IS NOT NULL AS own FROM base b FULL JOIN mine m ON b.k = m.k WHERE coalesce(m.vt, 0) = 0)"""
 
 
+def _one_transaction(spark, sf):
+    log = events_log(spark, sf)
+    middle = half(log)
+    own = log.where(F.col("seqno") > middle).select(F.lit(1).alias("tx"), "k", F.col("seqno").alias("ord"), F.when(F.col("vt") == 0, 0).otherwise(1).alias("vt"), F.concat(F.lit("own "), "v").alias("v"))
+    return log, mvcc.resolve(log, middle), own
+
+
 @query(f"WITH {SEEN} SELECT k, v, CAST(strlen(v) AS INTEGER) AS bytes, own FROM seen")
 def tx_ryow(spark, sf):
-    return transactions.read_own_writes(mvcc.resolve(events_log(spark, sf), 5000), _overlay(spark, sf).where("tx = 3"))
+    _, base, own = _one_transaction(spark, sf)
+    return transactions.read_own_writes(base, own)
 
 
-@query(f"WITH {SEEN} SELECT k, v FROM seen WHERE k <= 'u000030'")
+@query(f"WITH {SEEN} SELECT k, v, 1 AS vt FROM seen SEMI JOIN (SELECT k FROM log WHERE level = 0) USING (k)")
 def tx_take(spark, sf):
-    keys = events_log(spark, sf).where("k <= 'u000030'").select("k").distinct()
-    return transactions.take(mvcc.resolve(events_log(spark, sf), 5000), _overlay(spark, sf).where("tx = 3"), keys)[0]
+    """The values taken, each with the deletion that the transaction now holds."""
+    log, base, own = _one_transaction(spark, sf)
+    seen, gone = transactions.take(base, own, log.where("run % 4 = 3").select("k").distinct())
+    return seen.join(gone.select("k", "vt"), "k")
 
 
 @query(f"WITH {SEEN} SELECT l.k, s.v AS old_v, upper(s.v) AS new_v, CASE WHEN s.v IS NULL THEN 1 ELSE 0 END AS vt FROM (SELECT DISTINCT k FROM log) l LEFT JOIN seen s ON l.k = s.k")
 def tx_fetch_update(spark, sf):
-    keys = events_log(spark, sf).select("k").distinct()
-    return transactions.fetch_update(mvcc.resolve(events_log(spark, sf), 5000), _overlay(spark, sf).where("tx = 3"), keys, F.upper)
+    log, base, own = _one_transaction(spark, sf)
+    return transactions.fetch_update(base, own, log.select("k").distinct(), F.upper)
 
 
 @query(f"WITH {LOG}, {OVERLAY} SELECT tx, k, vt, v FROM overlay QUALIFY row_number() OVER (PARTITION BY tx, k ORDER BY ord DESC) = 1")
@@ -308,12 +325,14 @@ def tx_commit_rows(spark, sf):
 
 
 def _points(spark, sf):
-    read = mvcc.versions(events_log(spark, sf), 5000).groupBy("k").agg(F.max("seqno").alias("seqno"))
-    absent = events_log(spark, sf).where("seqno > 5000").select("k").distinct().join(read, "k", "left_anti").withColumn("seqno", F.lit(0).cast("long"))
+    log = events_log(spark, sf)
+    middle = half(log)
+    read = mvcc.versions(log, middle).groupBy("k").agg(F.max("seqno").alias("seqno"))
+    absent = log.where(F.col("seqno") > middle).select("k").distinct().join(read, "k", "left_anti").withColumn("seqno", F.lit(0).cast("long"))
     return read.unionByName(absent).withColumn("tx", F.pmod(F.col("seqno"), F.lit(5)))
 
 
-@query(f"WITH {LOG}, r AS (SELECT k, coalesce(max(seqno) FILTER (seqno <= 5000), 0) AS seqno, max(seqno) AS latest FROM log GROUP BY k) SELECT seqno % 5 AS tx, k FROM r WHERE latest > seqno")
+@query(f"WITH {LOG}, r AS (SELECT k, coalesce(max(seqno) FILTER (seqno <= {HALF}), 0) AS seqno, max(seqno) AS latest FROM log GROUP BY k) SELECT seqno % 5 AS tx, k FROM r WHERE latest > seqno")
 def occ_point(spark, sf):
     return transactions.point_conflicts(events_log(spark, sf), _points(spark, sf))
 
@@ -360,9 +379,11 @@ def range_merge_islands(spark, sf):
 # Blobs
 
 def _blobs(spark, sf):
+    """Every page's html as a blob of one of eight files, each filled in the order of page ids."""
     values = table(spark, sf, "pages").select(F.col("page_id").alias("k"), F.lit(0).alias("seqno"), F.octet_length("html").cast("long").alias("size"), F.pmod("page_id", F.lit(8)).alias("file_id"))
-    w = Window.partitionBy("file_id").orderBy("k")
-    return values.withColumn("off", (F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")).cast("long"))
+    filled = running_sums(values, {"end": F.col("size")}, F.col("file_id"), F.col("k"))
+    first = filled.groupBy("file_id").agg(F.min(F.col("end") - F.col("size")).alias("first"))  # where the file begins among all
+    return filled.join(F.broadcast(first), "file_id").withColumn("off", F.col("end") - F.col("size") - F.col("first")).select("k", "seqno", "size", "file_id", "off")
 
 
 BLOBS = "b AS (SELECT page_id AS k, strlen(html) AS size, page_id % 8 AS file_id, CAST(sum(strlen(html)) OVER (PARTITION BY page_id % 8 ORDER BY page_id ROWS UNBOUNDED PRECEDING) - strlen(html) AS BIGINT) AS off FROM pages), lab AS (SELECT DISTINCT doc_id FROM labels)"
@@ -557,10 +578,11 @@ def elected(spark, sf):
     return replication.elected(votes).select("term", "candidate", "votes")
 
 
-@query(f"WITH {LOG} SELECT k, v, seqno AS idx FROM (SELECT * FROM log WHERE seqno <= 8000 QUALIFY row_number() OVER (PARTITION BY k ORDER BY seqno DESC) = 1) WHERE vt = 0")
+@query(f"WITH {LOG} SELECT k, v, seqno AS idx FROM (SELECT * FROM log WHERE seqno <= {HALF} QUALIFY row_number() OVER (PARTITION BY k ORDER BY seqno DESC) = 1) WHERE vt = 0")
 def raft_state(spark, sf):
-    log = events_log(spark, sf).select(F.col("seqno").alias("idx"), F.when(F.col("vt") == 0, "SET").otherwise("DELETE").alias("op"), "k", "v")
-    return replication.state(log, 8000)
+    log = events_log(spark, sf)
+    rows = log.select(F.col("seqno").alias("idx"), F.when(F.col("vt") == 0, "SET").otherwise("DELETE").alias("op"), "k", "v")
+    return replication.state(rows, half(log))
 
 
 @query(
@@ -573,11 +595,12 @@ def raft_membership(spark, sf):
     return replication.membership(table(spark, sf, "events").select((F.col("user_id") % 10).alias("grp"), F.col("event_id").alias("idx"), op.alias("op"), F.col("user_id").alias("node")))
 
 
-@query("SELECT min(idx) AS first_idx, max(idx) AS last_idx, count(*) AS entries FROM (SELECT event_id AS idx FROM events) WHERE idx > 4000 AND idx < 9000")
+@query("SELECT min(idx) AS first_idx, max(idx) AS last_idx, count(*) AS entries FROM (SELECT event_id AS idx FROM events) WHERE idx > (SELECT max(event_id) * 2 // 5 FROM events) AND idx < (SELECT max(event_id) * 9 // 10 FROM events)")
 def raft_truncate(spark, sf):
     """A snapshot replaces the entries up to its index; a conflict drops those from an index on."""
     log = table(spark, sf, "events").select(F.col("event_id").alias("idx"))
-    return log.where("idx > 4000 and idx < 9000").agg(F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), F.count(F.lit(1)).alias("entries"))
+    last = log.agg(F.max("idx")).first()[0] or 0
+    return log.where((F.col("idx") > last * 2 // 5) & (F.col("idx") < last * 9 // 10)).agg(F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), F.count(F.lit(1)).alias("entries"))
 
 
 # Clocks and ids
@@ -652,8 +675,7 @@ def latency_percentiles(spark, sf):
 def stream_lww(spark, sf):
     """The newest versions by a stream over the events file, drained into a table."""
     source = table(spark, sf, "events")
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "stream")
     files = spark.readStream.schema(source.schema).parquet(f"{sf}/events.parquet*")
     vt = F.when(F.col("event_type") == "error", 1).when(F.col("event_type") == "signup", 2).otherwise(0)
     log = files.select(F.concat(F.lit("u"), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("k"), (F.col("event_id") + 1).alias("seqno"), vt.alias("vt"), F.col("props").alias("v"))

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from tidemark.sources.storage import in_order, small
+
 SCHEMA = "ks string, k string, seqno long, vt int, v string"
 VALUE, TOMBSTONE, WEAK, HANDLE = 0, 1, 2, 3
 
@@ -39,15 +41,36 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def number(rows: DataFrame, start: int, order: list[str]) -> DataFrame:
     """Give each row of a commit the next sequence numbers, in the given order.
 
-    Rows are range-sorted and numbered within their partition; only one count for each partition is
-    gathered to offset them, so no task sees more than its range.
+    Rows are range-sorted, written and numbered within their range; only one count for each range is
+    gathered to offset them, so no task sees more than its range, and a number does not change when a task runs again.
     """
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).persist()
-    part = F.shiftright("_at", 33).alias("_part")
-    counts = ranged.groupBy(part).count()
+    ranged = in_order(rows, *map(F.col, order))
     before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = counts.select("_part", before.alias("_base"))
-    return ranged.withColumn("_part", part).join(F.broadcast(base), "_part").withColumn("seqno", F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + start).drop("_at", "_part", "_base")
+    base = ranged.groupBy("_part").count().select("_part", before.alias("_base"))
+    numbered = ranged.join(F.broadcast(base), "_part").withColumn("seqno", F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + start)
+    return numbered.select(*rows.columns, "seqno")
+
+
+def last_seqno(log: DataFrame) -> int:
+    """The highest sequence number, 0 for an empty log."""
+    return log.agg(F.max("seqno")).first()[0] or 0
+
+
+def published(log: DataFrame) -> DataFrame:
+    """seqno, visible_seqno: a commit makes visible what is below the number after its own; neither ever falls."""
+    last = F.coalesce(F.max("seqno"), F.lit(0)).cast("long")
+    return log.agg(last.alias("seqno"), (last + 1).alias("visible_seqno"))
+
+
+def keyspaces(log: DataFrame) -> DataFrame:
+    """name, entries: the catalogue of a log(ks, ...)."""
+    return log.groupBy(F.col("ks").alias("name")).agg(F.count(F.lit(1)).alias("entries"))
+
+
+def exist(log: DataFrame, names: DataFrame) -> DataFrame:
+    """names(name) with `present`."""
+    known = log.select(F.col("ks").alias("name")).distinct().withColumn("_p", F.lit(True))
+    return names.join(small(known), "name", "left").withColumn("present", F.coalesce("_p", F.lit(False))).drop("_p")
 
 
 def live(log: DataFrame, clears: DataFrame | None = None) -> DataFrame:
@@ -55,7 +78,7 @@ def live(log: DataFrame, clears: DataFrame | None = None) -> DataFrame:
     if clears is None:
         return log
     last = clears.groupBy("ks").agg(F.max("cleared").alias("cleared"))
-    return log.join(F.broadcast(last), "ks", "left").where(F.col("cleared").isNull() | (F.col("seqno") > F.col("cleared"))).drop("cleared")
+    return log.join(small(last), "ks", "left").where(F.col("cleared").isNull() | (F.col("seqno") > F.col("cleared"))).drop("cleared")
 
 
 def is_value(vt: str = "vt") -> Column:

@@ -15,16 +15,20 @@ def newest_stream(log: DataFrame) -> DataFrame:
 
 
 def write_table(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Bring the table at path up to date with all that is there now: a new version folder for each batch."""
+    """Append to the table at path the keys that changed in each batch, by batch; a batch that runs again replaces its own."""
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/version={number}")
 
-    stream.writeStream.foreachBatch(put).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The last version of the table."""
-    versions = spark.read.schema(f"{schema}, version int").parquet(path)
-    last = versions.agg(F.max("version")).first()[0]
-    return versions.where(F.col("version") == last).drop("version")
+    """The newest row of each key over all batches."""
+    rows = spark.read.schema(f"{schema}, version int").parquet(path)
+    return newest_stream(rows.drop("version"))
+
+
+def merge_table(spark: SparkSession, path: str, schema: str, to: str) -> None:
+    """Write the newest rows as a table of one version at another path, so that old batches can be deleted."""
+    read_table(spark, path, schema).write.parquet(f"{to}/version=0")
