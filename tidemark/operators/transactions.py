@@ -59,9 +59,9 @@ def read_set_size(points: DataFrame, ranges: DataFrame | None = None, scans: Dat
 def tracked_ranges(log: DataFrame, ranges: DataFrame) -> DataFrame:
     """ranges(tx, lo, hi) with the keys they hold and the highest sequence number seen in them, 0 if none: what a
     range or prefix scan reads and what validation needs. Every stored version counts, as the scan sees them all."""
-    newest = log.groupBy("k").agg(F.max("seqno").alias("now"))
-    held = _within(newest, ranges.distinct()).groupBy("tx", "lo", "hi").agg(F.count(F.lit(1)).alias("keys"), F.max("now").alias("seqno"))
-    return ranges.distinct().join(held, ["tx", "lo", "hi"], "left").na.fill(0, ["keys", "seqno"])
+    newest, asked = log.groupBy("k").agg(F.max("seqno").alias("now")), ranges.select("tx", "lo", "hi").distinct()
+    held = _within(newest, asked).groupBy("tx", "lo", "hi").agg(F.count(F.lit(1)).alias("keys"), F.max("now").alias("seqno"))
+    return asked.join(held, ["tx", "lo", "hi"], "left").na.fill(0, ["keys", "seqno"])
 
 
 def prefix_range(prefix: Column) -> tuple[Column, Column]:

@@ -668,6 +668,234 @@ def latency_percentiles(spark, sf):
     return metrics.latencies(table(spark, sf, "events"), "event_type", "value")
 
 
+# Reads at a snapshot, catalogue and sequence numbers
+
+
+@query(f"WITH {LOG} SELECT DISTINCT k, k IN (SELECT k FROM (SELECT * FROM log WHERE seqno <= {HALF} QUALIFY row_number() OVER (PARTITION BY k ORDER BY seqno DESC) = 1) WHERE vt = 0) AS present FROM log")
+def snapshot_contains(spark, sf):
+    log = events_log(spark, sf)
+    return mvcc.contains(log, log.select("k").distinct(), half(log))
+
+
+@query(f"WITH {LOG} SELECT k, CAST(strlen(v) AS INTEGER) AS bytes FROM (SELECT * FROM log WHERE seqno <= {HALF} QUALIFY row_number() OVER (PARTITION BY k ORDER BY seqno DESC) = 1) WHERE vt = 0")
+def snapshot_size(spark, sf):
+    log = events_log(spark, sf)
+    return mvcc.size_of(log, half(log))
+
+
+@query(f"WITH {LOG} SELECT min(k) AS first_k, max(k) AS last_k, count(*) AS n, count(*) = 0 AS is_empty FROM (SELECT * FROM log WHERE seqno <= {HALF} QUALIFY row_number() OVER (PARTITION BY k ORDER BY seqno DESC) = 1) WHERE vt = 0")
+def snapshot_len(spark, sf):
+    log = events_log(spark, sf)
+    return mvcc.summary(log, half(log))
+
+
+@query("SELECT count(DISTINCT o_custkey) AS n_keys, true AS close FROM orders")
+def approximate_length(spark, sf):
+    """The sketch's count against the exact one: within a tenth."""
+    log = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"))
+    exact = log.agg(F.count_distinct("k").alias("n_keys"))
+    return exact.join(F.broadcast(mvcc.approximate_length(log)), how="cross").select("n_keys", (F.abs(F.col("n") - F.col("n_keys")) <= 0.1 * F.col("n_keys")).alias("close"))
+
+
+@query(f"WITH {LOG} SELECT k, CASE WHEN k LIKE '%7' THEN v END AS v FROM ({NEWEST}) WHERE vt = 0")
+def value_if_key(spark, sf):
+    return mvcc.value_if(events_log(spark, sf), F.col("k").endswith("7"))
+
+
+@query(f"WITH {LOG} SELECT k, seqno FROM ({NEWEST}) WHERE vt = 0 AND k NOT IN (SELECT k FROM log WHERE vt = 2 AND level = 0)")
+def delete_keys(spark, sf):
+    log = events_log(spark, sf)
+    return mvcc.without(mvcc.resolve(log), log.where("vt = 2 and run % 4 = 3")).select("k", "seqno")
+
+
+@query(f"WITH {LOG} SELECT max(seqno) AS seqno, max(seqno) + 1 AS visible_seqno FROM log")
+def seqno_published(spark, sf):
+    return changelog.published(events_log(spark, sf))
+
+
+@query("SELECT o_orderpriority AS name, count(*) AS entries, (SELECT count(DISTINCT o_orderpriority) FROM orders) AS n_keyspaces FROM orders GROUP BY 1")
+def keyspace_catalogue(spark, sf):
+    names = changelog.keyspaces(table(spark, sf, "orders").select(F.col("o_orderpriority").alias("ks")))
+    return names.join(F.broadcast(names.agg(F.count(F.lit(1)).alias("n_keyspaces"))), how="cross")
+
+
+@query("SELECT DISTINCT event_type AS name, event_type IN (SELECT event_type FROM events WHERE value > 500) AS present FROM events")
+def keyspace_exists(spark, sf):
+    events = table(spark, sf, "events")
+    return changelog.exist(events.where("value > 500").select(F.col("event_type").alias("ks")), events.select(F.col("event_type").alias("name")).distinct())
+
+
+@query(f"WITH {LOG} SELECT k, seqno, v FROM ({NEWEST}) WHERE vt = 0")
+def append_read_back(spark, sf):
+    """Every event is appended as a commit to a new log, whose files are then read."""
+    path = shared_folder(spark, "log")
+    changelog.append(events_log(spark, sf).withColumn("ks", F.lit("events")).select("ks", "k", "seqno", "vt", "v"), path)
+    return mvcc.resolve(changelog.read(spark, path), keys=("ks", "k")).select("k", "seqno", "v")
+
+
+# Ordered merges, files and compaction
+
+
+@query(f"WITH {LOG} SELECT k, seqno, row_number() OVER (ORDER BY k, seqno DESC) AS pos FROM log")
+def merge_ordered(spark, sf):
+    """The runs of both levels as one sequence: keys ascending, of a key the newest first, with each row's place."""
+    log = events_log(spark, sf).select("k", "seqno", "run")
+    both = log.where("run % 4 = 3").unionByName(log.where("run % 4 <> 3"))
+    return running_sums(both, {"pos": F.lit(1)}, F.col("k"), F.desc("seqno")).select("k", "seqno", "pos")
+
+
+@query("SELECT count(*) AS entries, count(DISTINCT user_id) AS n_keys, true AS in_order FROM events")
+def ingest_files(spark, sf):
+    """Files of sorted rows whose key ranges follow each other, checked from what was read back."""
+    path = shared_folder(spark, "ingested")
+    ingest.write(events_log(spark, sf).drop("run"), path)
+    rows = spark.read.parquet(path)
+    files = rows.groupBy(F.input_file_name().alias("file")).agg(F.min(F.struct("k", -F.col("seqno"))).alias("low"), F.max(F.struct("k", -F.col("seqno"))).alias("high"))
+    follow = files.withColumn("before", F.lag("high").over(Window.orderBy("low"))).agg(F.bool_and(F.col("before").isNull() | (F.col("before") < F.col("low"))).alias("in_order"))  # a row for each file
+    return rows.agg(F.count(F.lit(1)).alias("entries"), F.count_distinct("k").alias("n_keys")).join(F.broadcast(follow), how="cross")
+
+
+@query("SELECT coalesce(CASE WHEN strlen(text) = 0 THEN 'empty key' WHEN strlen(text) > 65536 THEN 'long key' END, 'ok') AS fault, count(*) AS n FROM (SELECT coalesce(text, '') AS text FROM documents) GROUP BY 1")
+def ingest_limits(spark, sf):
+    items = table(spark, sf, "documents").select(F.col("text").alias("k"), F.lit("v").alias("v"))
+    return items.groupBy(F.coalesce(batch.fault(most_key=ingest.MOST_KEY), F.lit("ok")).alias("fault")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {LOG}, {META} SELECT a.run, (SELECT count(*) FROM meta b WHERE a.min_k <= b.max_k AND a.max_k >= b.min_k) AS overlapping FROM meta a")
+def overlap_counts(spark, sf):
+    meta = written(_meta(spark, sf), "meta")
+    return layout.overlap_counts(meta, meta).select("run", "overlapping")
+
+
+@query(f"WITH {LOG}, {META} SELECT DISTINCT l.k, (SELECT count(*) FROM meta b WHERE l.k BETWEEN b.min_k AND b.max_k) AS runs FROM log l")
+def runs_that_may_hold(spark, sf):
+    return layout.may_contain(_meta(spark, sf), events_log(spark, sf))
+
+
+@query(
+    f"""WITH {LOG}, {META}, p AS (SELECT run FROM meta m WHERE level = 0 OR (level = 1 AND EXISTS (SELECT 1 FROM meta u WHERE u.level = 0 AND u.min_k <= m.max_k AND u.max_k >= m.min_k))),
+r AS (SELECT log.* FROM log SEMI JOIN p USING (run)) SELECT k, seqno, vt FROM r WHERE seqno >= {HALF} UNION ALL SELECT k, seqno, vt FROM (SELECT * FROM r WHERE seqno < {HALF} QUALIFY row_number() OVER (PARTITION BY k ORDER BY seqno DESC) = 1)"""
+)
+def compaction_major(spark, sf):
+    """Pick the runs of a level with what they overlap below, and merge them."""
+    log = events_log(spark, sf)
+    return layout.major_compact(log, written(_meta(spark, sf), "meta"), half(log)).select("k", "seqno", "vt")
+
+
+@query(f"WITH {LOG}, n AS (SELECT run, vt, lag(vt) OVER (PARTITION BY k ORDER BY seqno) AS below FROM log) SELECT run, count(*) AS reclaimable FROM n WHERE vt = 2 AND below = 0 GROUP BY run")
+def weak_reclaimable(spark, sf):
+    return layout.reclaimable(events_log(spark, sf), "run")
+
+
+@query(f"WITH {LOG} SELECT run AS journal, CAST(sum(strlen(k) + coalesce(strlen(v), 0)) AS BIGINT) AS bytes FROM log GROUP BY 1")
+def journal_disk_space(spark, sf):
+    return metrics.disk_space(events_log(spark, sf).withColumnRenamed("run", "journal"), "journal")
+
+
+# Tracked transactions: blocks of 50 events write their keys and read those of the next users
+
+READS = """reads AS (SELECT event_id // 50 AS tx, 'u' || lpad(CAST(user_id + 1 AS VARCHAR), 6, '0') AS k, event_id AS ord, event_id // 50 * 50 AS at FROM events)"""
+TRACKED = f"""{LOG}, {OVERLAY}, {READS}, mine AS (SELECT tx, k, vt, v FROM overlay QUALIFY row_number() OVER (PARTITION BY tx, k ORDER BY ord DESC) = 1),
+tracked AS (SELECT r.tx, r.k, r.ord, CASE WHEN m.k IS NOT NULL THEN CASE WHEN m.vt = 0 THEN m.v END WHEN l.vt = 0 THEN l.v END AS v, m.k IS NOT NULL AS own,
+  CASE WHEN m.k IS NULL THEN CASE WHEN l.vt = 0 THEN l.seqno ELSE 0 END END AS seqno
+  FROM (SELECT r.*, l.seqno AS found FROM reads r ASOF LEFT JOIN log l ON r.k = l.k AND r.at >= l.seqno) r LEFT JOIN log l ON l.seqno = r.found LEFT JOIN mine m ON m.tx = r.tx AND m.k = r.k),
+points AS (SELECT tx, k, arg_min(seqno, ord) AS seqno FROM tracked WHERE seqno IS NOT NULL GROUP BY tx, k)"""
+
+
+def _tracked(spark, sf):
+    e = table(spark, sf, "events")
+    tx = F.floor(F.col("event_id") / 50).cast("long")
+    key = F.concat(F.lit("u"), F.lpad((F.col("user_id") + 1).cast("string"), 6, "0"))
+    reads = e.select(tx.alias("tx"), key.alias("k"), F.col("event_id").alias("ord"), (tx * 50).alias("at"))
+    return transactions.tracked_reads(events_log(spark, sf), _overlay(spark, sf), reads)
+
+
+@query(f"WITH {TRACKED} SELECT tx, k, ord, v, own, seqno FROM tracked")
+def tx_tracked_reads(spark, sf):
+    return _tracked(spark, sf)
+
+
+@query(f"WITH {TRACKED} SELECT tx, k, seqno FROM points")
+def tx_read_set(spark, sf):
+    return transactions.read_set(_tracked(spark, sf))
+
+
+@query(f"WITH {TRACKED}, {RANGES} SELECT tx, count(*) AS reads FROM (SELECT tx FROM points UNION ALL SELECT tx FROM ranges) GROUP BY tx")
+def tx_read_counts(spark, sf):
+    return transactions.read_set_size(transactions.read_set(_tracked(spark, sf)), _ranges(spark, sf))
+
+
+@query(f"WITH {LOG}, {RANGES}, l AS (SELECT k, max(seqno) AS now FROM log GROUP BY k) SELECT r.tx, r.lo, r.hi, count(l.k) AS keys, coalesce(max(l.now), 0) AS seqno FROM (SELECT DISTINCT tx, lo, hi FROM ranges) r LEFT JOIN l ON l.k BETWEEN r.lo AND r.hi GROUP BY ALL")
+def tx_tracked_scan(spark, sf):
+    return transactions.tracked_ranges(events_log(spark, sf), _ranges(spark, sf))
+
+
+@query(f"WITH {LOG}, r AS (SELECT user_id AS tx, substr('u' || lpad(CAST(user_id AS VARCHAR), 6, '0'), 1, 6) AS p FROM events GROUP BY ALL), l AS (SELECT k, max(seqno) AS now FROM log GROUP BY k) SELECT r.tx, r.p AS lo, count(l.k) AS keys, coalesce(max(l.now), 0) AS seqno FROM r LEFT JOIN l ON starts_with(l.k, r.p) GROUP BY ALL")
+def tx_tracked_prefix(spark, sf):
+    users = table(spark, sf, "events").select(F.col("user_id").alias("tx")).distinct()
+    low, high = transactions.prefix_range(F.substring(F.concat(F.lit("u"), F.lpad(F.col("tx").cast("string"), 6, "0")), 1, 6))
+    return transactions.tracked_ranges(events_log(spark, sf), users.select("tx", low.alias("lo"), high.alias("hi"))).drop("hi")
+
+
+@query("SELECT event_id // 50 AS tx, least(max(event_id) + 60, (SELECT max(event_id) + 1 FROM events)) AS seqno FROM events GROUP BY 1")
+def tx_full_scan(spark, sf):
+    scans = table(spark, sf, "events").groupBy(F.floor(F.col("event_id") / 50).cast("long").alias("tx")).agg((F.max("event_id") + 60).alias("at"))
+    return transactions.tracked_full_scans(events_log(spark, sf), scans)
+
+
+@query(
+    f"""WITH {TRACKED}, bad AS (SELECT DISTINCT p.tx FROM points p JOIN log l ON l.k = p.k AND l.seqno > p.seqno AND l.seqno <= p.tx * 50 + 4 WHERE p.seqno > 0 OR l.seqno > 0)
+SELECT tx, k, vt, v FROM mine ANTI JOIN bad USING (tx)"""
+)
+def tx_commit_validated(spark, sf):
+    """Transactions commit four numbers after their snapshot; those whose reads are out of date by then append nothing."""
+    points = transactions.read_set(_tracked(spark, sf))
+    commits = points.select("tx").distinct().withColumn("at", F.col("tx") * 50 + 4)
+    return transactions.validated(_overlay(spark, sf), transactions.outdated(events_log(spark, sf), points, commits))
+
+
+# More of clocks and summaries
+
+
+@query("SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS deviation FROM events GROUP BY 1")
+def mean_deviation(spark, sf):
+    return clock.mean_deviation(table(spark, sf, "events"), "event_type", "value").select("event_type", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"))
+
+
+@query(f"WITH {STAMPS}, s AS (SELECT event_id, (t4 - t1) - (t3 - t2) AS delay FROM t) SELECT event_id, round(1.0 / (1.0 + abs(delay) / 1e6), 9) AS confidence FROM s WHERE abs(delay) <= 200")
+def sync_round(spark, sf):
+    """Samples with a delay over the limit are dropped; the others have a confidence."""
+    delayed = _stamps(spark, sf).select("event_id", clock.delay(*(F.col(f"t{i}") for i in (1, 2, 3, 4))).alias("delay"))
+    return clock.usable(delayed, "delay", 200).select("event_id", F.round("confidence", 9).alias("confidence"))
+
+
+@query(f"WITH {STAMPS}, o AS (SELECT user_id, CAST(floor(((t2 - t1) + (t3 - t4)) / 2) AS BIGINT) AS o, count(*) AS w FROM t GROUP BY ALL), r AS (SELECT *, sum(w) OVER (PARTITION BY user_id ORDER BY o ROWS UNBOUNDED PRECEDING) AS run, sum(w) OVER (PARTITION BY user_id) AS total FROM o), c AS (SELECT user_id, min(o) AS consensus FROM r WHERE run * 2 >= total GROUP BY 1) SELECT event_id, t4 + consensus AS synchronized FROM t JOIN c USING (user_id)")
+def synchronized_time(spark, sf):
+    stamps = _stamps(spark, sf)
+    offsets = stamps.select("user_id", F.floor(clock.offset(*(F.col(f"t{i}") for i in (1, 2, 3, 4)))).cast("long").alias("o"), F.lit(1).alias("w"))
+    return clock.synchronized(stamps, "user_id", "t4", clock.weighted_median(offsets, ["user_id"], "o", "w")).select("event_id", "synchronized")
+
+
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 10)")
+def ring_items(spark, sf):
+    return clock.ring(table(spark, sf, "events"), "user_id", "event_id", 10).select("user_id", "event_id", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT event_type, count(*) AS n, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) AS seconds, round(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 9) AS per_second FROM events GROUP BY 1")
+def ops_per_second(spark, sf):
+    timed = metrics.throughput(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), "event_type", "ts")
+    return timed.select("event_type", "n", F.round("seconds", 6).alias("seconds"), F.round("per_second", 9).alias("per_second"))
+
+
+@query("WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations), s AS (SELECT unnest(range(1, 5)) AS size) SELECT conv_id, p AS first, size, row_number() OVER (PARTITION BY conv_id ORDER BY size DESC, p) AS nth FROM t, s WHERE p + size - 1 <= n")
+def slice_windows_shrinking(spark, sf):
+    """Slices of at most four turns, the largest first: in proportion to the turns."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    turns = table(spark, sf, "conversations").select("conv_id", F.row_number().over(w).cast("long").alias("first"), F.count(F.lit(1)).over(Window.partitionBy("conv_id")).alias("n"))
+    each = turns.withColumn("size", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(4).cast("long"), F.col("n") - F.col("first") + 1))))
+    return each.select("conv_id", "first", "size", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("size"), "first")).cast("long").alias("nth"))
+
+
 # Streaming
 
 
