@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.sources.changelog import is_value
-from tidemark.sources.storage import bounds, part_of
+from tidemark.sources.storage import bounds, part_of, written
 
 
 def versions(log: DataFrame, snapshot: int | None = None) -> DataFrame:
@@ -81,12 +81,13 @@ def versions_at(history: DataFrame, asked: DataFrame, columns: tuple[str, ...] =
     dealt over parts of the sequence numbers; newest versions go from part to part as one row each.
     """
     cuts = bounds(history, "seqno", parts)
-    version = F.struct("seqno", *columns)
-    rows = history.select("k", F.col("seqno").alias("_at"), F.lit(0).alias("_kind"), version.alias("_version"), F.lit(None).cast(asked.schema).alias("_asked")).unionByName(
-        asked.select("k", F.col("at").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).alias("_version"), F.struct(*asked.columns).alias("_asked"))
+    held = {c: history.schema[c].dataType for c in columns}
+    rows = history.select("k", F.col("seqno").alias("_at"), F.lit(0).alias("_kind"), *(F.col(c).alias(f"_v_{c}") for c in held), F.lit(None).cast(asked.schema).alias("_asked")).unionByName(
+        asked.select("k", F.col("at").alias("_at"), F.lit(1).alias("_kind"), *(F.lit(None).cast(t).alias(f"_v_{c}") for c, t in held.items()), F.struct(*asked.columns).alias("_asked"))
     )
-    rows = rows.withColumn("_part", part_of(F.col("_at"), cuts))
-    of_part = rows.groupBy("k", "_part").agg(F.max("_version").alias("_last"), F.min("_version.seqno").alias("_low"))
+    version = F.when(F.col("_kind") == 0, F.struct(F.col("_at").alias("seqno"), *(F.col(f"_v_{c}").alias(c) for c in held)))
+    rows = written(rows.select("k", "_at", "_kind", version.alias("_version"), "_asked", part_of(F.col("_at"), cuts).alias("_part")), "versions")  # it is read twice
+    of_part = rows.groupBy("k", "_part").agg(F.max("_version").alias("_last"), F.min(F.when(F.col("_kind") == 0, F.col("_at"))).alias("_low"))
     before = Window.partitionBy("k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     carried = of_part.select("k", "_part", F.max("_last").over(before).alias("_before"), F.min("_low").over(Window.partitionBy("k")).alias("_oldest"))
     own = Window.partitionBy("k", "_part").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -97,7 +98,7 @@ def versions_at(history: DataFrame, asked: DataFrame, columns: tuple[str, ...] =
 def as_of(history: DataFrame, asked: DataFrame) -> DataFrame:
     """For each asked(id, k, at): the newest version of k strictly before `at`, else the oldest."""
     found = versions_at(history, asked.select("id", "k", (F.col("at") - 1).alias("at")))
-    return found.select("id", "k", (F.col("at") + 1).alias("at"), F.coalesce("found.seqno", "oldest").alias("seqno")).where("seqno is not null")
+    return found.where("oldest is not null").select("id", "k", (F.col("at") + 1).alias("at"), F.coalesce("found.seqno", "oldest").alias("seqno"))
 
 
 def without(rows: DataFrame, keys: DataFrame) -> DataFrame:
