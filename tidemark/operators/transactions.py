@@ -42,6 +42,13 @@ def tracked_reads(log: DataFrame, overlay: DataFrame, reads: DataFrame) -> DataF
     return seen.select("tx", "k", "ord", v.alias("v"), own.alias("own"), F.when(~own, F.when(there, F.col("found.seqno")).otherwise(0)).alias("seqno"))
 
 
+def tracked_update(tracked: DataFrame, change) -> DataFrame:
+    """What fetch-and-update, or take where change gives null, does at each tracked read: the old value, the write
+    that the transaction now holds, and the sequence number for its read set, null where its own write answered."""
+    new: Column = change(F.col("v"))
+    return tracked.select("tx", "k", "ord", F.col("v").alias("old_v"), new.alias("new_v"), F.when(new.isNull(), 1).otherwise(0).alias("vt"), "seqno")
+
+
 def read_set(tracked: DataFrame) -> DataFrame:
     """points(tx, k, seqno) of tracked reads; of repeated reads of a key the first counts."""
     return tracked.where("seqno is not null").groupBy("tx", "k").agg(F.min_by("seqno", "ord").alias("seqno"))

@@ -815,6 +815,16 @@ def tx_tracked_reads(spark, sf):
     return _tracked(spark, sf)
 
 
+@query(f"WITH {TRACKED} SELECT tx, k, ord, v AS old_v, upper(v) AS new_v, CASE WHEN v IS NULL THEN 1 ELSE 0 END AS vt, seqno FROM tracked")
+def tx_tracked_update(spark, sf):
+    return transactions.tracked_update(_tracked(spark, sf), F.upper)
+
+
+@query(f"WITH {TRACKED} SELECT tx, k, ord, v AS old_v, 1 AS vt, seqno FROM tracked")
+def tx_tracked_take(spark, sf):
+    return transactions.tracked_update(_tracked(spark, sf), lambda v: F.lit(None).cast("string")).drop("new_v")
+
+
 @query(f"WITH {TRACKED} SELECT tx, k, seqno FROM points")
 def tx_read_set(spark, sf):
     return transactions.read_set(_tracked(spark, sf))
