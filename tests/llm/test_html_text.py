@@ -105,6 +105,12 @@ def test_what_is_not_article_goes_however_long():
         assert H.Page(page(shell.format(other) % BODY)).text(None) == TEXT, shell
 
 
+def test_a_brief_article_beside_many_comments():
+    other = "<p>" + "a reader says this and that, at length. " * 60 + "</p>"
+    for shell in ("<article>%s</article><div class='comments'>{0}</div>", "<main><div>%s</div></main><aside>{0}</aside>"):
+        assert H.Page(page(shell.format(other) % "<h1>Head</h1><p>It is brief.</p>")).text(None) == "Head\nIt is brief."
+
+
 def test_inline_advert_within_a_paragraph():
     assert H.Page(page(f'<article><p>One <span class="promo">buy it</span> two.</p>{BODY}</article>')).text(None) == "One two.\n" + TEXT
 

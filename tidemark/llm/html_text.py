@@ -7,7 +7,8 @@ These are lifted to the article or main around them, or to containers that have
 
 What is not article is known by its element or by the words of its classes, id and role. Such an element is
 taken for a frame of the page, and kept, if it holds most of the running text: where all else is less than a
-paragraph, or, for a form or an element that also has an article's class, more than half. Class names that
+paragraph and none of it is of an article element, or, for a form or an element that also has an article's class,
+more than half. Class names that
 tell a state ("has-sidebar", "no-comments", "ad-free") say nothing about an element.
 
 Defined cases: null html is empty and gives an empty text; a null url is the host ''; a page without
@@ -42,6 +43,7 @@ BLOCK = frozenset(
 CONTAINER = frozenset("article main section div td body blockquote".split())
 #: An open p ends where one of these begins.
 ENDS_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NEVER = frozenset("nav footer button menu head dialog".split())
 BAD = frozenset(
     "ad ads adv advert advertisement advertising adbox sponsor sponsored promo promotion comment comments disqus reply replies respond sidebar share sharing social related recommended cookie cookies consent gdpr popup modal newsletter subscribe breadcrumb breadcrumbs pagination pager complementary".split()
@@ -172,6 +174,7 @@ class Page:
         self.nodes, self.flagged, self._blocks = [node], [], []  # in the order of their beginning
         self._text: list[tuple[str, Node | None]] = []
         self._links = anchor = 0
+        self._marked = False  # an article or main has text of its own
         opened: dict[str, int] = {}  # open elements of each name
         ends: dict[str, int] = {}  # last end tag of each skipped element
 
@@ -242,6 +245,8 @@ class Page:
                     parts[-1][1].append(raw)
                 else:
                     parts.append([guard, [raw]])
+            if node.article and node.guard is None and node.tag not in HEADINGS:
+                self._marked = self._marked or any(raw.strip() for _, own in parts for raw in own)
             self._blocks.append((node.box, [(guard, "".join(raw)) for guard, raw in parts], self._links))
             self._links, self._text = 0, []
 
@@ -261,7 +266,7 @@ class Page:
                 f.outer.held += f.held
         for f in self.flagged:
             scope = f.outer.scope if f.outer else total
-            most = f.held > 0.5 * scope if f.strength == WEAK else f.held > 0.9 * scope and beside < PARAGRAPH
+            most = f.held > 0.5 * scope if f.strength == WEAK else f.held > 0.9 * scope and beside < PARAGRAPH and not self._marked
             f.out = bool(f.outer and f.outer.out) or not most
             f.scope = f.held
         self.blocks: list[str] = []

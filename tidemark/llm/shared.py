@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidemark.sources.storage import BROADCAST_ROWS, shared_folder, small  # noqa: F401  the operators take them from here
+
 #: The six ASCII white-space characters of the contracts, \x20 and \x09-\x0D.
 SPACES = " \t\n\x0b\x0c\r"
 
-#: Rows of a (long, small value) table that may be broadcast: at most about 16 MB.
-BROADCAST_ROWS = 1_000_000
-
 #: Code points that one Python step handles at once; a longer single text is a step of its own.
 STEP_CHARS = 4_000_000
 
@@ -31,13 +28,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, label: str) -> None:
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not base:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            base = tempfile.mkdtemp(prefix="tidemark-")  # one machine, as in tests
-            spark.conf.set("spark.checkpoint.dir", base)
-        self.spark, self.at, self.n = spark, f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}", 0
+        self.spark, self.at, self.n = spark, shared_folder(spark, label), 0
         _MADE.append(self.at)
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
@@ -66,11 +57,6 @@ def clear(spark: SparkSession) -> None:
         _delete(spark, _MADE.pop())
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark df for broadcast if it has at most that many rows; else leave the join to a shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def by_row(docs: DataFrame, work: Callable[[DataFrame], DataFrame], ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """work(docs) where each row counts by itself: if any doc_id is null or repeated, rows have keys instead while
     work runs, in the order of their doc_ids, null ids last, and the columns `ids` of the result get the doc_ids."""
