@@ -32,7 +32,7 @@ from tidemark.llm.shared import Scratch, steps
 
 CAPACITY, END = 4096, 1
 #: Distinct words a worker keeps; beyond it the cache starts anew.
-CACHED = 600_000
+CACHED = 400_000
 #: Words that the library encodes in one call.
 CALL = 8192
 
@@ -106,7 +106,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(path)
-        for batch in steps(batches, most=16_000_000):
+        for batch in steps(batches, most=6_000_000):
             ids, bounds, odd = words.encode(batch.column("text"))
             rows: list[tuple] = []
             for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):

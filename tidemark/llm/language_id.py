@@ -51,7 +51,7 @@ def _counts(langs: list[str], bits: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         number = {lang: i for i, lang in enumerate(langs)}
-        for batch in steps(batches):
+        for batch in steps(batches, most=1_500_000):
             own_langs, texts = [number[x] for x in batch.column("lang").to_pylist()], _lowered(batch.column("text"))
             for lang in set(own_langs):
                 own = [t for t, x in zip(texts, own_langs, strict=True) if x == lang and t]
@@ -98,7 +98,7 @@ def identify(docs: DataFrame, langs: list[str], matrix: np.ndarray, prior: np.nd
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, matrix, prior = shared.value
-        for batch in steps(batches):
+        for batch in steps(batches, most=1_500_000):
             texts = _lowered(batch.column("text"))
             sums = np.repeat(prior[:, None], len(texts), axis=1)
             for hashed, starts, stop in _grams(texts, bits) if langs else ():

@@ -90,6 +90,7 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = S
                 start, held = i, 0
             held += n
         yield batch.slice(start)
+        pa.default_memory_pool().release_unused()  # a worker lives on between tasks, and others work beside it
 
 
 def crc_fold(column: str, parts: int) -> Column:
