@@ -892,7 +892,7 @@ def ring_items(spark, sf):
 
 
 @query("SELECT event_type, count(*) AS n, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) AS seconds, round(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 9) AS per_second FROM events GROUP BY 1")
-def ops_per_second(spark, sf):
+def throughput(spark, sf):
     timed = metrics.throughput(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), "event_type", "ts")
     return timed.select("event_type", "n", F.round("seconds", 6).alias("seconds"), F.round("per_second", 9).alias("per_second"))
 
