@@ -7,10 +7,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 MOST_KEY, MOST_VALUE = 65_535, 2**32
 
 
-def last_items(items: DataFrame) -> DataFrame:
-    """items(batch_id, ord, ks, k, vt, v): what a commit writes."""
-    w = Window.partitionBy("batch_id", "ks", "k").orderBy(F.desc("ord"))
-    return items.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+def last_items(items: DataFrame, *ties: str) -> DataFrame:
+    """items(batch_id, ord, ks, k, vt, v): what a commit writes. Of items with an equal ord, the first by the columns `ties`."""
+    w = Window.partitionBy("batch_id", "ks", "k").orderBy(F.desc("ord"), *ties)
+    return items.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", *ties)
 
 
 def commit(log: DataFrame, items: DataFrame, first_seqno: int) -> DataFrame:

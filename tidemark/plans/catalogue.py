@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tidemark.functions import sizing
 from tidemark.operators import batch, blobs, clock, ingest, layout, metrics, mvcc, replication, transactions
 from tidemark.sources import changelog
-from tidemark.sources.changelog import events_log, table
+from tidemark.sources.changelog import PLACE, events_log, placed_table, table
 from tidemark.sources.storage import running_sums, shared_folder, written
 from tidemark.streaming import latest
 
@@ -153,10 +153,11 @@ def clear_epoch(spark, sf):
 
 @query("SELECT k, vt, v FROM (SELECT l_orderkey AS batch_id, CAST(l_partkey % 4 AS VARCHAR) AS k, l_linenumber AS ord, CASE l_returnflag WHEN 'R' THEN 1 ELSE 0 END AS vt, l_linestatus AS v FROM lineitem) QUALIFY row_number() OVER (PARTITION BY batch_id, k ORDER BY ord DESC) = 1")
 def batch_lww(spark, sf):
-    items = table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("batch_id"), F.lit("lines").alias("ks"), (F.col("l_partkey") % 4).cast("string").alias("k"), F.col("l_linenumber").alias("ord"), F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("vt"), F.col("l_linestatus").alias("v")
+    # (l_orderkey, l_linenumber) is no key of lineitem: of equal line numbers the first row of the table is taken, as DuckDB does with one thread
+    items = placed_table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("batch_id"), F.lit("lines").alias("ks"), (F.col("l_partkey") % 4).cast("string").alias("k"), F.col("l_linenumber").alias("ord"), F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("vt"), F.col("l_linestatus").alias("v"), *PLACE
     )
-    return batch.last_items(items).select("k", "vt", "v")
+    return batch.last_items(items, *PLACE).select("k", "vt", "v")
 
 
 @query(

@@ -17,6 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Where a row of placed_table stands in the table: its file, in the order of their names, and its number there.
+PLACE = ("_file", "_row")
+
+
+def placed_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table with PLACE, which does not change with the splits and tasks that read it."""
+    return table(spark, sf_dir, name).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+
 def events_log(spark: SparkSession, sf_dir: str, run_rows: int = 512) -> DataFrame:
     """The events table as a changelog: a key for each user, a version for each event, in runs."""
     vt = F.when(F.col("event_type") == "error", TOMBSTONE).when(F.col("event_type") == "signup", WEAK).otherwise(VALUE)
